@@ -173,11 +173,13 @@ def fill_absent(df: DataFrame, spec: ColumnSpec) -> DataFrame:
 
 
 def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, int]:
+    """Nulls per column, plus the row count under the key ``None``."""
     cols = list(cols if cols is not None else df.columns)
-    if not cols:
-        return {}
-    row = df.agg(*[F.count_if(c(x).isNull()).alias(x) for x in cols]).first()
-    return {x: int(row[x]) for x in cols}
+    row = df.agg(F.count(F.lit(1)).alias("__rows"),
+                 *[F.count_if(c(x).isNull()).alias(f"n{i}") for i, x in enumerate(cols)]).first()
+    out: dict = {x: int(row[f"n{i}"]) for i, x in enumerate(cols)}
+    out[None] = int(row["__rows"])
+    return out
 
 
 def attach_group_value(df: DataFrame, table: DataFrame, key: str, value: str,
@@ -190,7 +192,8 @@ def attach_group_value(df: DataFrame, table: DataFrame, key: str, value: str,
 
 
 def fill_group_median(df: DataFrame, col: str, by: str, settings: Settings = SETTINGS,
-                      fallback: float | None = None, compute_fallback: bool = False) -> DataFrame:
+                      fallback: float | None = None, compute_fallback: bool = False,
+                      row_bound: int | None = None) -> DataFrame:
     """Nulls -> median of the row's group, else the overall median.
 
     Both medians are taken before filling.  The per-group table is joined
@@ -198,15 +201,33 @@ def fill_group_median(df: DataFrame, col: str, by: str, settings: Settings = SET
     window, which would put each, possibly huge, group into one task.
     """
     if compute_fallback:
-        fallback = quantile_dict(df, [col], [0.5], settings)[col][0]
-    gm = group_medians(df, col, [by], settings).withColumnRenamed("median", "_gmed")
-    out = attach_group_value(df, gm, by, "_gmed", settings)
+        fallback = quantile_dict(df, [col], [0.5], settings, row_bound=row_bound)[col][0]
+    gm = group_medians(df, col, [by], settings, row_bound=row_bound)
+    small = gm.limit(_LITERAL_GROUPS + 1).collect()
+    if len(small) <= _LITERAL_GROUPS:
+        # few groups: a literal map lookup, no join at all
+        lookup = _literal_lookup({r[by]: r["median"] for r in small if r[by] is not None}, c(by))
+        out = df.withColumn("_gmed", lookup)
+    else:
+        out = attach_group_value(df, gm.withColumnRenamed("median", "_gmed"), by, "_gmed", settings)
     filled = F.coalesce(c(col).cast("double"), F.col("_gmed"))
     if fallback is not None:
         filled = F.coalesce(filled, F.lit(float(fallback)))
     return out.withColumn(col, filled).drop("_gmed").select(*[c(x) for x in df.columns])
 
 
+_LITERAL_GROUPS = 5_000
+
+
+def _literal_lookup(mapping: dict, key: Column) -> Column:
+    if not mapping:
+        return F.lit(None).cast("double")
+    kv = []
+    for k, v in mapping.items():
+        kv += [F.lit(k), F.lit(v).cast("double")]
+    return F.element_at(F.create_map(*kv), key)
+
+
 def fill_missing_values(df: DataFrame, spec: ColumnSpec, settings: Settings = SETTINGS) -> DataFrame:
     """C1-C5 on one frame (statistics taken from the frame itself)."""
     out = fill_absent(df, spec)
@@ -218,10 +239,11 @@ def fill_missing_values(df: DataFrame, spec: ColumnSpec, settings: Settings = SE
     num = numeric_columns(out)
     num_fill = [x for x in num if nulls[x] > 0 and x != gi_col]
     want = num_fill + ([gi_col] if gi_col else [])
-    med = {k: v[0] for k, v in quantile_dict(out, want, [0.5], settings).items()}
+    rows = nulls[None]
+    med = {k: v[0] for k, v in quantile_dict(out, want, [0.5], settings, row_bound=rows).items()}
 
     if gi_col and nulls[gi_col] > 0:
-        out = fill_group_median(out, gi_col, gi[1], settings, fallback=med.get(gi_col))
+        out = fill_group_median(out, gi_col, gi[1], settings, fallback=med.get(gi_col), row_bound=rows)
 
     strs = [x for x in string_columns(out) if nulls.get(x, 0) > 0]
     mode = modes(out, strs)

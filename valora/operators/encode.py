@@ -25,6 +25,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from valora.functions.exprs import c, is_numeric, string_columns
 from valora.functions.features import engineer_features
@@ -80,6 +81,16 @@ class Preprocessor:
     def fit(self, df: DataFrame) -> PreprocessorModel:
         spec, st = self.spec, self.settings
         base = df.drop(spec.target_col) if spec.target_col in df.columns else df
+        # The statistics below make several passes: keep the input cached
+        # for the duration of the fit (recomputed from lineage if lost).
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._fit(base)
+        finally:
+            base.unpersist()
+
+    def _fit(self, base: DataFrame) -> PreprocessorModel:
+        spec, st = self.spec, self.settings
         x = drop_columns(fill_missing_values(base, spec, st), spec.drop_cols)
         x = engineer_features(x, spec)
 
@@ -90,23 +101,24 @@ class Preprocessor:
             raise ValueError("No feature columns found for transformation.")
 
         # Job 1: means and population deviations.
-        mom = {}
-        if numeric:
-            row = x.agg(*[F.avg(c(n)).alias(f"m{i}") for i, n in enumerate(numeric)],
-                        *[F.stddev_pop(c(n)).alias(f"s{i}") for i, n in enumerate(numeric)]).first()
-            mom = {n: (row[f"m{i}"], row[f"s{i}"]) for i, n in enumerate(numeric)}
+        row = x.agg(F.count(F.lit(1)).alias("__rows"),
+                    *[F.avg(c(n)).alias(f"m{i}") for i, n in enumerate(numeric)],
+                    *[F.stddev_pop(c(n)).alias(f"s{i}") for i, n in enumerate(numeric)]).first()
+        mom = {n: (row[f"m{i}"], row[f"s{i}"]) for i, n in enumerate(numeric)}
+        n_rows = int(row["__rows"])
 
         # Job 2: medians (and group medians of the group-imputed column).
-        med = {k: v[0] for k, v in quantile_dict(x, numeric, [0.5], st).items()}
+        med = {k: v[0] for k, v in quantile_dict(x, numeric, [0.5], st, row_bound=n_rows).items()}
         gmap, gfall = {}, None
         gi = spec.group_impute
         if gi and gi[0] in x.columns and gi[1] in x.columns:
-            gm = group_medians(x, gi[0], [gi[1]], st)
-            rows = gm.limit(st.broadcast_rows + 1).collect()
-            if len(rows) > st.broadcast_rows:
+            gm = group_medians(x, gi[0], [gi[1]], st, row_bound=n_rows)
+            rows = gm.limit(_LITERAL_MAP_MAX + 1).collect()
+            if len(rows) > _LITERAL_MAP_MAX:
                 raise ValueError(f"too many groups in {gi[1]} for a lookup table")
             gmap = {r[gi[1]]: r["median"] for r in rows if r[gi[1]] is not None}
-            gfall = med.get(gi[0]) if gi[0] in med else quantile_dict(x, [gi[0]], [0.5], st)[gi[0]][0]
+            gfall = (med.get(gi[0]) if gi[0] in med else
+                     quantile_dict(x, [gi[0]], [0.5], st, row_bound=n_rows)[gi[0]][0])
 
         # Job 3: value counts -> modes of every string column and one-hot categories.
         strings = string_columns(x)

@@ -76,22 +76,27 @@ def _corr_exprs(pairs: list[tuple[str, str]]):
 def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson matrix, pairwise-complete, long form ``a, b, corr``.
 
-    One aggregate computes every pair (upper triangle); the lower triangle
-    and the unit diagonal are filled by symmetry.
+    Each row is expanded into one ``(pair, x, y)`` entry per upper-triangle
+    pair (and per diagonal cell) and a single ``corr`` is grouped by pair:
+    small generated code, map-side partial aggregation, a k·(k+1)/2-row
+    result.  The lower triangle is filled by symmetry; a diagonal cell is 1
+    unless the column has no variance.
     """
     cols = list(cols or numeric_columns(df))
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    diag = [(a, a) for a in cols]
-    row = df.agg(*_corr_exprs(pairs + diag))
-    entries = []
-    for i, (a, b) in enumerate(pairs):
-        entries.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"k{i}").alias("corr")))
-        entries.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"k{i}").alias("corr")))
-    for j, (a, _) in enumerate(diag):
-        k = F.col(f"k{len(pairs) + j}")
-        entries.append(F.struct(F.lit(a).alias("a"), F.lit(a).alias("b"),
-                                F.when(k.isNotNull(), F.lit(1.0)).alias("corr")))
-    return row.select(F.inline(F.array(*entries)))
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    vals = {x: nan_to_null(c(x).cast("double")) for x in cols}
+    arr = F.array(*[F.struct(F.lit(i).alias("pair"), vals[a].alias("x"), vals[b].alias("y"))
+                    for i, (a, b) in enumerate(pairs)])
+    per_pair = (df.select(F.inline(arr)).groupBy("pair")
+                .agg(nan_to_null(F.corr("x", "y")).alias("corr")))
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    named = per_pair.select(F.element_at(names, F.col("pair") + 1).alias("ab"), "corr")
+    diag = F.col("ab.a") == F.col("ab.b")
+    upper = named.select(F.col("ab.a").alias("a"), F.col("ab.b").alias("b"),
+                         F.when(diag & F.col("corr").isNotNull(), F.lit(1.0))
+                         .when(diag, F.lit(None)).otherwise(F.col("corr")).alias("corr"))
+    lower = upper.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
+    return upper.unionByName(lower)
 
 
 def target_correlations(df: DataFrame, target: str, cols: Sequence[str] | None = None) -> DataFrame:

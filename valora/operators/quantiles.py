@@ -47,7 +47,7 @@ def _interpolate(lo: F.Column, hi: F.Column, pos: F.Column) -> F.Column:
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
               by: Sequence[str] = (), settings: Settings = SETTINGS,
-              approx: bool = False) -> DataFrame:
+              approx: bool = False, row_bound: int | None = None) -> DataFrame:
     """Long table ``by..., column, p, value`` of exact linear quantiles.
 
     Nulls and NaN are skipped.  ``approx=True`` returns ``percentile_approx``
@@ -62,6 +62,10 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         agg = long.groupBy(*keys).agg(F.percentile_approx("v", parr, _ACCURACY).alias("_qs"))
         return _explode_probs(agg, keys, probs)
 
+    if row_bound is not None and row_bound <= settings.exact_group_rows:
+        # every group is bounded by the caller's row count: one pass suffices
+        agg = long.groupBy(*keys).agg(F.percentile("v", parr).alias("_qs"))
+        return _explode_probs(agg, keys, probs)
     sizes = long.groupBy(*keys).agg(F.count("v").alias("_n"))
     max_n = sizes.agg(F.max("_n")).first()[0]
     if max_n is None:
@@ -160,11 +164,12 @@ def select_ranks(long: DataFrame, keys: list[str], targets: DataFrame,
 
 
 def quantile_dict(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                  settings: Settings = SETTINGS, approx: bool = False) -> dict[str, list[float | None]]:
+                  settings: Settings = SETTINGS, approx: bool = False,
+                  row_bound: int | None = None) -> dict[str, list[float | None]]:
     """Global quantiles collected to the driver (size = columns x probs)."""
     if not cols:
         return {}
-    rows = quantiles(df, cols, probs, (), settings, approx).collect()
+    rows = quantiles(df, cols, probs, (), settings, approx, row_bound).collect()
     out: dict[str, list[float | None]] = {x: [None] * len(probs) for x in cols}
     index = {float(p): i for i, p in enumerate(probs)}
     for r in rows:
@@ -172,13 +177,15 @@ def quantile_dict(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return out
 
 
-def medians(df: DataFrame, cols: Sequence[str], settings: Settings = SETTINGS) -> dict[str, float | None]:
-    return {k: v[0] for k, v in quantile_dict(df, cols, [0.5], settings).items()}
+def medians(df: DataFrame, cols: Sequence[str], settings: Settings = SETTINGS,
+            row_bound: int | None = None) -> dict[str, float | None]:
+    return {k: v[0] for k, v in quantile_dict(df, cols, [0.5], settings, row_bound=row_bound).items()}
 
 
-def group_medians(df: DataFrame, col: str, by: Sequence[str], settings: Settings = SETTINGS) -> DataFrame:
+def group_medians(df: DataFrame, col: str, by: Sequence[str], settings: Settings = SETTINGS,
+                  row_bound: int | None = None) -> DataFrame:
     """``by..., median`` for one column (groups with no value are absent)."""
-    q = quantiles(df, [col], [0.5], by, settings)
+    q = quantiles(df, [col], [0.5], by, settings, row_bound=row_bound)
     return q.select(*[c(b) for b in by], F.col("value").alias("median"))
 
 

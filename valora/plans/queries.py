@@ -626,6 +626,72 @@ def q_feature_names(spark, d):
     return spark.createDataFrame(list(enumerate(names)), "position int, feature string")
 
 
+# -------------------------------------------- models, attribution, scoring
+# Model fits have no SQL counterpart; the driver checks their row counts.
+
+def _model_tables(spark: SparkSession, d: str):
+    from valora.operators.models import model_table
+    marked = with_split(_sales(spark, d), ID, SETTINGS)
+    train = marked.where(~F.col("is_test")).drop("is_test")
+    test = marked.where(F.col("is_test")).drop("is_test")
+    prep = Preprocessor(SPEC, scale=True).fit(train)
+    return prep, model_table(prep, train, ID, TARGET), model_table(prep, test, ID, TARGET), test
+
+
+def _linear_fit(spark: SparkSession, d: str):
+    from valora.operators.models import train_final_model
+    prep, trt, tet, test = _model_tables(spark, d)
+    model, _ = train_final_model("ElasticNet", trt)
+    return prep, trt, tet, test, model
+
+
+@register("model_leaderboard_linear")
+def q_board(spark, d):
+    from valora.operators.models import LINEAR, compare_models
+    _, trt, _, _ = _model_tables(spark, d)
+    return compare_models(trt, LINEAR)
+
+
+@register("model_tuning_elasticnet")
+def q_tune(spark, d):
+    import json
+    from valora.operators.models import tune_model
+    _, trt, _, _ = _model_tables(spark, d)
+    params, best = tune_model("ElasticNet", trt, n_trials=4)
+    return spark.createDataFrame([("ElasticNet", float(best["best_cv_rmse_log"]), json.dumps(params))],
+                                 "family string, best_cv_rmse_log double, params string")
+
+
+@register("model_holdout_metrics")
+def q_model_metrics(spark, d):
+    _, _, tet, _, model = _linear_fit(spark, d)
+    return merged_metrics(model.transform(tet), "y", "prediction")
+
+
+@register("score_predict")
+def q_predict(spark, d):
+    from valora.operators.score import predict, raw_pipeline
+    prep, _, _, test, model = _linear_fit(spark, d)
+    return predict(raw_pipeline(prep, model), test, ID)
+
+
+@register("explain_global_importance")
+def q_importance(spark, d):
+    from valora.operators.explain import attributions, feature_means, global_importance
+    prep, trt, _, _, model = _linear_fit(spark, d)
+    imp, _ = global_importance(attributions(model, trt, feature_means(trt)), prep.feature_names, 30)
+    return imp
+
+
+@register("explain_local_top15")
+def q_local(spark, d):
+    from valora.operators.explain import (attributions, explode_explanations, feature_means,
+                                          local_explanations)
+    prep, trt, tet, _, model = _linear_fit(spark, d)
+    att = attributions(model, tet, feature_means(trt))
+    return explode_explanations(local_explanations(att, prep.feature_names, 15), [ID])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
