@@ -67,14 +67,15 @@ def union_records(frames: Sequence[DataFrame]) -> DataFrame:
 def apply_scoring_schema(df: DataFrame, spec: ColumnSpec, drop_unset: bool = True) -> DataFrame:
     """A10 + A11: defaults for unset scoring fields, range flag ``valid``.
 
-    Unset numerics with a default become that default; the other fields stay
-    unset.  With ``drop_unset`` a column that is null in every row is
+    Numerics with a default take it when unset or absent (a record schema
+    fills its defaults); the other fields stay unset.  With ``drop_unset`` a column that is null in every row is
     dropped (so later steps treat it as absent, not as null), except the
     ``always_present`` columns, which are added at 0.0 when missing.
     """
     out = df
-    fills = {k: F.coalesce(c(k).cast("double"), F.lit(float(v)))
-             for k, v in spec.scoring_defaults.items() if k in df.columns}
+    fills = {k: (F.coalesce(c(k).cast("double"), F.lit(float(v))) if k in df.columns
+                 else F.lit(float(v)))
+             for k, v in spec.scoring_defaults.items()}
     if fills:
         out = out.withColumns(fills)
     add = {k: F.lit(0.0) for k in spec.always_present if k not in out.columns}
