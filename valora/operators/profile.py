@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from valora.functions.exprs import c, nan_to_null, numeric_columns, string_columns
 from valora.operators.quantiles import medians, quantiles
@@ -68,44 +69,80 @@ def missing_values(df: DataFrame) -> DataFrame:
             .orderBy(F.desc("n_missing"), "column"))
 
 
-def _corr_exprs(pairs: list[tuple[str, str]]):
-    return [nan_to_null(F.corr(nan_to_null(c(a).cast("double")), nan_to_null(c(b).cast("double"))))
-            .alias(f"k{i}") for i, (a, b) in enumerate(pairs)]
+def pairwise_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Pearson correlation per pair over rows where both are non-null:
+    ``a, b, corr`` (NULL when a side has no variance).
+
+    Two aggregate passes: column means, then per pair the count, sums,
+    squares and cross products of mean-shifted values (plain multiply-adds,
+    combined map-side).  Shifting by the mean keeps the sums free of
+    cancellation; the pairwise-complete statistics follow in one projection.
+    """
+    cols = list(dict.fromkeys([x for p in pairs for x in p]))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, corr double")
+    vals = {x: nan_to_null(c(x).cast("double")) for x in cols}
+    src = df.select(*[vals[x].alias(f"v{i}") for i, x in enumerate(cols)]) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _pairwise(src, cols, pairs)
+    finally:
+        src.unpersist()
+
+
+def _pairwise(src: DataFrame, cols: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    vals = {x: F.col(f"v{i}") for i, x in enumerate(cols)}
+    mrow = src.agg(*[F.avg(vals[x]).alias(f"m{i}") for i, x in enumerate(cols)]).first()
+    z = {x: vals[x] - F.lit(float(mrow[f"m{i}"] or 0.0)) for i, x in enumerate(cols)}
+    aggs = []
+    for i, (a, b) in enumerate(pairs):
+        both = z[a].isNotNull() & z[b].isNotNull()
+        za, zb = F.when(both, z[a]), F.when(both, z[b])
+        aggs += [F.count(za).alias(f"n{i}"), F.sum(za).alias(f"sa{i}"), F.sum(zb).alias(f"sb{i}"),
+                 F.sum(za * za).alias(f"qa{i}"), F.sum(zb * zb).alias(f"qb{i}"), F.sum(za * zb).alias(f"p{i}")]
+    # chunks of 16 pairs keep each aggregate under the whole-stage codegen
+    # field limit; the input is cached, so each chunk is a fast scan
+    got: dict = {}
+    for k in range(0, len(aggs), 96):
+        got.update(src.agg(*aggs[k:k + 96]).first().asDict())
+    # the per-pair statistics are k·(k+1)/2 small tuples: finish in Python
+    out = []
+    for i, (a, b) in enumerate(pairs):
+        n = float(got[f"n{i}"] or 0)
+        sa, sb = got[f"sa{i}"] or 0.0, got[f"sb{i}"] or 0.0
+        corr = None
+        if n > 1:
+            cov = got[f"p{i}"] - sa * sb / n
+            va = got[f"qa{i}"] - sa * sa / n
+            vb = got[f"qb{i}"] - sb * sb / n
+            if va > 0 and vb > 0:
+                corr = max(-1.0, min(1.0, cov / math.sqrt(va * vb)))
+        out.append((a, b, corr))
+    return src.sparkSession.createDataFrame(out, "a string, b string, corr double")
 
 
 def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson matrix, pairwise-complete, long form ``a, b, corr``.
 
-    Each row is expanded into one ``(pair, x, y)`` entry per upper-triangle
-    pair (and per diagonal cell) and a single ``corr`` is grouped by pair:
-    small generated code, map-side partial aggregation, a k·(k+1)/2-row
-    result.  The lower triangle is filled by symmetry; a diagonal cell is 1
-    unless the column has no variance.
+    The upper triangle comes from :func:`pairwise_correlations`; the lower
+    triangle by symmetry; a diagonal cell is 1 unless the column has no
+    variance.
     """
     cols = list(cols or numeric_columns(df))
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    vals = {x: nan_to_null(c(x).cast("double")) for x in cols}
-    arr = F.array(*[F.struct(F.lit(i).alias("pair"), vals[a].alias("x"), vals[b].alias("y"))
-                    for i, (a, b) in enumerate(pairs)])
-    per_pair = (df.select(F.inline(arr)).groupBy("pair")
-                .agg(nan_to_null(F.corr("x", "y")).alias("corr")))
-    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    named = per_pair.select(F.element_at(names, F.col("pair") + 1).alias("ab"), "corr")
-    diag = F.col("ab.a") == F.col("ab.b")
-    upper = named.select(F.col("ab.a").alias("a"), F.col("ab.b").alias("b"),
-                         F.when(diag & F.col("corr").isNotNull(), F.lit(1.0))
+    upper = pairwise_correlations(df, pairs)
+    diag = F.col("a") == F.col("b")
+    upper = upper.select("a", "b", F.when(diag & F.col("corr").isNotNull(), F.lit(1.0))
                          .when(diag, F.lit(None)).otherwise(F.col("corr")).alias("corr"))
-    lower = upper.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
+    lower = upper.where(~diag).select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
     return upper.unionByName(lower)
 
 
 def target_correlations(df: DataFrame, target: str, cols: Sequence[str] | None = None) -> DataFrame:
     """``feature, corr, abs_corr`` of every numeric column with the target."""
     cols = [x for x in (cols or numeric_columns(df)) if x != target]
-    row = df.agg(*_corr_exprs([(x, target) for x in cols]))
-    arr = F.array(*[F.struct(F.lit(x).alias("feature"), F.col(f"k{i}").alias("corr"))
-                    for i, x in enumerate(cols)])
-    return row.select(F.inline(arr)).select("feature", "corr", F.abs("corr").alias("abs_corr"))
+    pc = pairwise_correlations(df, [(x, target) for x in cols])
+    return pc.select(F.col("a").alias("feature"), "corr", F.abs("corr").alias("abs_corr"))
 
 
 def top_correlations(df: DataFrame, target: str, k: int = 20, cols: Sequence[str] | None = None) -> DataFrame:
