@@ -61,7 +61,14 @@ def run_training(spark: SparkSession, raw: DataFrame, spec: ColumnSpec, settings
     importance, base = {}, None
     try:
         means = feature_means(train_t)
-        imp, base = global_importance(attributions(model, train_t, means), prep.feature_names, 30)
+        src = train_t
+        if best not in ("Ridge", "Lasso", "ElasticNet"):
+            # per-row tree attribution is Python work: explain a seeded sample
+            # of about 1000 rows, as the original does
+            n = train_t.count()
+            if n > 1000:
+                src = train_t.sample(fraction=min(1.0, 1050.0 / n), seed=settings.seed).limit(1000)
+        imp, base = global_importance(attributions(model, src, means), prep.feature_names, 30)
         importance = {r["feature"]: r["mean_abs_value"] for r in imp.collect()}
     except NotImplementedError as exc:  # attribution not available for this family
         log.warning("attribution skipped: %s", exc)

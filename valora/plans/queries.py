@@ -692,6 +692,17 @@ def q_local(spark, d):
     return explode_explanations(local_explanations(att, prep.feature_names, 15), [ID])
 
 
+@register("explain_forest_local_top15")
+def q_forest_local(spark, d):
+    """TreeSHAP attributions of a 20-tree forest for every hold-out row."""
+    from valora.operators.explain import attributions, explode_explanations, local_explanations
+    from valora.operators.models import label_stats, make_model
+    prep, trt, tet, _ = _model_tables(spark, d)
+    model = make_model("RandomForest", label_stats(trt), {"n_estimators": 20, "max_depth": 5}).fit(trt)
+    att = attributions(model, tet)
+    return explode_explanations(local_explanations(att, prep.feature_names, 15), [ID])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
