@@ -635,7 +635,8 @@ def _model_tables(spark: SparkSession, d: str):
     train = marked.where(~F.col("is_test")).drop("is_test")
     test = marked.where(F.col("is_test")).drop("is_test")
     prep = Preprocessor(SPEC, scale=True).fit(train)
-    return prep, model_table(prep, train, ID, TARGET), model_table(prep, test, ID, TARGET), test
+    return (prep, model_table(prep, train, ID, TARGET),
+            model_table(prep, test, ID, TARGET, reuse=False), test)
 
 
 def _linear_fit(spark: SparkSession, d: str):
