@@ -8,6 +8,8 @@ Library code never creates its own temporary folders.  Lineage is cut with
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
@@ -67,8 +69,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors once per application, so
+    that tasks with Python code run from any working folder.
+
+    The archive is written on the driver and served to the executors by Spark
+    (``addPyFile``); executors never read the driver's folder.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_valora_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="valora-package-"), "valora_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._valora_shipped = True
