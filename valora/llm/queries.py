@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.llm import mixing, sharding, url_filter
+from valora.llm import mixing, packing, sharding, url_filter
 from valora.session import ship_package
 
 
@@ -32,11 +32,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_mixing": op6_mixing,
         "op8_url_filter": op8_url_filter,
         "op9_sharding": op9_sharding,
+        "op10_packing": op10_packing,
     }
 
 

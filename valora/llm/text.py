@@ -8,7 +8,7 @@ longer than that forms a block of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -51,13 +51,52 @@ def column_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
 
 
 def blocks(col: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Iterator[Block]:
+    """Blocks of about ``size`` bytes.  A text that is longer comes in several
+    blocks of one row each, cut before white space, so no word is split."""
     data, off = column_bytes(col)
     i, n = 0, len(off) - 1
     while i < n:
         j = int(np.searchsorted(off, off[i] + size, "right")) - 1
-        j = min(max(j, i + 1), n)
-        yield Block(i, data[off[i]:off[j]], off[i:j] - off[i], off[i + 1:j + 1] - off[i])
-        i = j
+        if j > i:
+            j = min(j, n)
+            yield Block(i, data[off[i]:off[j]], off[i:j] - off[i], off[i + 1:j + 1] - off[i])
+            i = j
+            continue
+        at, end = int(off[i]), int(off[i + 1])
+        while at < end:
+            to = min(at + size, end)
+            while to < end and not _SPACE[data[to]]:
+                gap = np.flatnonzero(_SPACE[data[to:to + size]])
+                to = to + int(gap[0]) if len(gap) else min(to + size, end)
+            yield Block(i, data[at:to], np.zeros(1, np.int64), np.array([to - at]))
+            at = to
+        i += 1
+
+
+def row_values(col: pa.Array | pa.ChunkedArray,
+               of: Callable[[Block], tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(first row, values, first value of each row and the end)``.
+
+    ``of(block)`` gives the values of a block and where each row's begin; those
+    of a text that came in several blocks are put together.
+    """
+    held: list[tuple[int, np.ndarray]] = []
+
+    def let_go() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if held:
+            v = np.concatenate([x for _, x in held])
+            yield held[0][0], v, np.array([0, len(v)])
+            held.clear()
+
+    for b in blocks(col):
+        values, first = of(b)
+        if held and held[0][0] != b.first:
+            yield from let_go()
+        if len(b.starts) == 1:
+            held.append((b.first, values))
+        else:
+            yield b.first, values, first
+    yield from let_go()
 
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
