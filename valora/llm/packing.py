@@ -66,9 +66,8 @@ class UnitTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.hash = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.n = np.zeros(0, np.int64)
+        self.index = tx.HashIndex()
+        self.ends = np.zeros(1 << 12, np.int64)   # of each unit's ids
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
@@ -99,29 +98,27 @@ class UnitTokenizer:
         return ids, done[u.first]
 
     def _find(self, h: np.ndarray, low: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.hash) > CACHE_UNITS:
+        if len(self.index) > CACHE_UNITS:
             self._clear()
-        p = np.searchsorted(self.hash, h)
-        known = np.zeros(len(h), bool)
-        inside = p < len(self.hash)
-        known[inside] = self.hash[p[inside]] == h[inside]
-        new = np.flatnonzero(~known)
+        new = self.index.missing(h)
         if len(new):
             raw = low.tobytes()
             units = [raw[i:j].decode("utf-8", "replace") for i, j in zip(s[new].tolist(), e[new].tolist(), strict=True)]
             got = self.tokenizer.encode(units, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(got.ids, np.uint32)
-            n = np.bincount(np.array([w for w in got.word_ids], np.int64), minlength=len(units)) if len(ids) else np.zeros(len(units), np.int64)
+            n = np.bincount(np.array(got.word_ids, np.int64), minlength=len(units))
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            at = len(self.index)
+            while at + len(new) > len(self.ends):
+                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
             self.ids[self.used:self.used + len(ids)] = ids
-            at = self.used + np.cumsum(n) - n
+            self.ends[at:at + len(new)] = self.used + np.cumsum(n)
             self.used += len(ids)
-            self.hash = np.insert(self.hash, p[new], h[new])
-            self.at = np.insert(self.at, p[new], at)
-            self.n = np.insert(self.n, p[new], n)
-            p = np.searchsorted(self.hash, h)
-        return self.at[p], self.n[p]
+            self.index.add(h[new], at + np.arange(len(new)))
+        rows = self.index.rows(h)
+        start = np.where(rows > 0, self.ends[rows - 1], 0)
+        return start, self.ends[rows] - start
 
 
 _TOKENIZERS: dict[str, UnitTokenizer] = {}

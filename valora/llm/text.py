@@ -216,3 +216,30 @@ def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, first[full], axis=0)
     return out
+
+
+class HashIndex:
+    """Sorted 64-bit hashes with a row number each, for values met before."""
+
+    def __init__(self) -> None:
+        self.hash = np.zeros(0, np.uint64)
+        self.row = np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.hash)
+
+    def missing(self, h: np.ndarray) -> np.ndarray:
+        """Places in the sorted, distinct ``h`` that are not known."""
+        p = np.searchsorted(self.hash, h)
+        known = np.zeros(len(h), bool)
+        inside = p < len(self.hash)
+        known[inside] = self.hash[p[inside]] == h[inside]
+        return np.flatnonzero(~known)
+
+    def add(self, h: np.ndarray, rows: np.ndarray) -> None:
+        p = np.searchsorted(self.hash, h)
+        self.hash = np.insert(self.hash, p, h)
+        self.row = np.insert(self.row, p, rows)
+
+    def rows(self, h: np.ndarray) -> np.ndarray:
+        return self.row[np.searchsorted(self.hash, h)]
