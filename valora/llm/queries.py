@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.llm import fingerprints, language_id, mixing, packing, sharding, simhash, url_filter
+from valora.llm import fingerprints, hnsw, language_id, mixing, packing, sharding, simhash, url_filter
 from valora.session import ship_package
 
 
@@ -22,6 +22,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.neighbours(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
@@ -53,6 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_nearest_neighbours": op2_nearest_neighbours,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op5_fingerprints": op5_fingerprints,
         "op6_mixing": op6_mixing,
