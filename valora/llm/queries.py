@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.llm import fingerprints, hnsw, language_id, mixing, packing, sharding, simhash, url_filter
+from valora.llm import fingerprints, hnsw, language_id, mixing, packing, sharding, simhash, suffix_array, suffix_tree, url_filter
 from valora.session import ship_package
 
 
@@ -30,6 +30,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.deduplicate(_table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("size") * F.col("copies")).alias("taken"), "source", "rate", "copies")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.deduplicate(_table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.RULES)
 
@@ -59,8 +67,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_nearest_neighbours": op2_nearest_neighbours,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
+        "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_fingerprints": op5_fingerprints,
         "op6_mixing": op6_mixing,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_url_filter": op8_url_filter,
         "op9_sharding": op9_sharding,
         "op10_packing": op10_packing,

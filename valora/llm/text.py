@@ -166,11 +166,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial hash over random byte values (mod 2^64)."""
-    n = len(buf)
+    return prefix_sums(byte_symbols(buf))
+
+
+def byte_symbols(buf: np.ndarray) -> np.ndarray:
+    """A random 64-bit value for each byte."""
+    return _RND[buf]
+
+
+def prefix_sums(h: np.ndarray) -> np.ndarray:
+    """The same over symbols that are 64-bit hashes."""
+    n = len(h)
     p, _ = _powers(n + 1)
     c = np.empty(n + 1, np.uint64)
     c[0] = 0
-    np.cumsum(_RND[buf] * p[:n], out=c[1:])
+    np.cumsum(h * p[:n], out=c[1:])
     return c
 
 
