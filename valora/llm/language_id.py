@@ -320,34 +320,49 @@ def fit(rows: DataFrame, vocabulary: str = "piece_bpe_32k.model", per_language:
     return Model(vocabulary, languages, p)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` with ``lang_pred, score`` after them; no shuffle."""
+def _predictions(model: Model, col: pa.Array) -> tuple[list[str], np.ndarray]:
+    score = _scorer(model)
+    names = model.languages
+    pred, best = [UND] * len(col), np.zeros(len(col))
+    sums = np.zeros((len(col), len(names) + 1))
+    for blk in tx.blocks(col):
+        v, _ = score(blk)
+        sums[blk.first:blk.first + len(v)] += v
+    if names:
+        for i in np.flatnonzero(sums[:, -1] > 0).tolist():
+            own = sums[i, :-1]
+            top = int(np.argmax(own))
+            pred[i], best[i] = names[top], 1 / np.exp(own - own[top]).sum()
+    return pred, best
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, lang_pred, score`` for every row; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    cols = [F.col(f"`{c}`") for c in keep]
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), *cols)
-    out_names = [*rows.columns[1:], "lang_pred", "score"]
+    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(shared.value)
-        names = score.model.languages
         for b in batches:
-            pred, best = [UND] * b.num_rows, np.zeros(b.num_rows)
-            sums = np.zeros((b.num_rows, len(names) + 1))
-            for blk in tx.blocks(b.column(0)):
-                v, _ = score(blk)
-                sums[blk.first:blk.first + len(v)] += v
-            if names:
-                for i in np.flatnonzero(sums[:, -1] > 0).tolist():
-                    own = sums[i, :-1]
-                    top = int(np.argmax(own))
-                    pred[i], best[i] = names[top], 1 / np.exp(own - own[top]).sum()
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(pred, pa.string()), pa.array(best)],
-                                             names=out_names)
-
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    schema = StructType(rows.schema.fields[1:]).add("lang_pred", StringType()).add("score", DoubleType())
-    return rows.mapInArrow(run, schema)
+            pred, best = _predictions(shared.value, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(best)],
+                                             names=[id_col, "lang_pred", "score"])
+
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+
+
+def accept(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all columns as they are, that have a language with a
+    score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pred, best = _predictions(shared.value, b.column(place))
+            yield b.filter(pa.array((np.array(pred, object) != UND) & (best >= least), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: Column) -> Column:

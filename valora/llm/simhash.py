@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from valora.llm.components import components
@@ -67,19 +67,22 @@ def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp`` with the fingerprint as a long; one pass, no shuffle."""
-    doc = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    """``id, mark, fp``: a hash of the text, which tells rows with one id apart,
+    and the fingerprint as a long; one pass, no shuffle."""
+    text = F.col(f"`{text_col}`").cast("string")
+    doc = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     kind = doc.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = column_bytes(b.column(1))
+            data, off = column_bytes(b.column(2))
             at = off.tolist()
             fp = np.fromiter((fingerprint(data[at[i]:at[i + 1]].tobytes(), shingle) for i in range(b.num_rows)),
                              np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))],
+                                             names=["id", "mark", "fp"])
 
-    return doc.mapInArrow(run, f"id {kind}, fp long")
+    return doc.mapInArrow(run, f"id {kind}, mark long, fp long")
 
 
 def covering_masks(radius: int, level: int = 0) -> list[int]:
@@ -174,16 +177,40 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """``id, fingerprint, component_id`` for every row; see the module's text."""
+def _rooted(docs: DataFrame, shingle: int, radius: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows ``id, mark, fp``, and ``fp, first, root`` per distinct
+    fingerprint: its smallest id, and the fingerprint its component is named by."""
     rows = cut_lineage(fingerprints(docs, shingle, id_col, text_col))
     first = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components(links(first.select("fp"), radius))
     joined = (first.join(roots, first["fp"] == roots["node"], "left")
               .select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    return rows, joined
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """``id, fingerprint, component_id`` for every row; see the module's text."""
+    rows, joined = _rooted(docs, shingle, radius, id_col, text_col)
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     component = joined.join(smallest, "root").select("fp", "component_id")
     return (rows.join(component, "fp")
             .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                     "component_id"))
+
+
+def representatives(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """One row of each component, with all columns as they are: that with the
+    smallest id (null last), then text hash; one of rows that agree on both."""
+    rows, joined = _rooted(docs, shingle, radius, id_col, text_col)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    own = rows.groupBy("fp").agg(F.min(order).alias("least"))
+    least = own.join(joined, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.mark")
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"),
+                         F.col(f"`{id_col}`").alias("id"),
+                         F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("mark"))
+    kept = marked.alias("m").join(least.alias("l"), F.expr("m.id <=> l.id AND m.mark = l.mark"), "left_semi")
+    once = F.row_number().over(Window.partitionBy("id", "mark").orderBy(F.lit(1)))
+    return kept.withColumn("__once", once).where("__once = 1").select(*columns)

@@ -166,3 +166,52 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = joined.mapInArrow(run, f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string")
     i = F.col(f"`{id_col}`")
     return out.withColumn(id_col, F.when(i != repeats.NULL_ID, i))
+
+
+def shorten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The rows with all columns, their texts without the repeated words: the
+    kept words joined by one space.  A text that loses nothing stays as it is;
+    a row that loses all of its words goes.  ``chars_col``, if there, is set to
+    the new length in code points where the text changed."""
+    names = docs.columns
+    rest = [c for c in names if c != text_col]
+    base = repeats.prepare(docs, id_col, text_col)
+    found = repeats.spans(base, METHOD)
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(repeats.NULL_ID)).alias("id"),
+                       F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), text.alias("text"),
+                       F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
+    joined = repeats.apply(rows, found, ["rest"]).select("rest", "text", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = np.flatnonzero(b.column(2).is_valid().to_numpy(zero_copy_only=False))
+            keep = np.ones(b.num_rows, bool)
+            changed = np.zeros(b.num_rows, bool)
+            texts = b.column(1)
+            if len(some):
+                texts = texts.to_pylist()
+                for i in some.tolist():
+                    words = (texts[i] or "").encode().split()
+                    gone = repeats.covered(b.column(2)[i].as_py(), len(words)).tolist()
+                    kept = [w for w, g in zip(words, gone, strict=True) if not g]
+                    texts[i] = b" ".join(kept).decode()
+                    keep[i], changed[i] = bool(kept), True
+                texts = pa.array(texts, b.column(1).type)
+            out = pa.RecordBatch.from_arrays([b.column(0), texts, pa.array(changed)], names=["rest", "text", "changed"])
+            yield out.filter(pa.array(keep))
+
+    from pyspark.sql.types import BooleanType, StringType, StructType
+
+    schema = StructType().add("rest", rows.schema["rest"].dataType).add("text", StringType()).add("changed", BooleanType())
+    out = joined.mapInArrow(run, schema)
+
+    def column(c: str):
+        if c == text_col:
+            return F.col("text").alias(c)
+        own = F.col(f"rest.`{c}`")
+        if c == chars_col:
+            own = F.when(F.col("changed"), F.char_length("text").cast(docs.schema[c].dataType)).otherwise(own)
+        return own.alias(c)
+
+    return out.select(*[column(c) for c in names])
