@@ -185,3 +185,17 @@ def _repair(out: DataFrame, goals: DataFrame) -> DataFrame:
     return cut_lineage(out.alias("o").join(best.alias("b"), _same("o", "b", "source", "size", "place"), "left")
                        .select("o.id", "o.mark", "o.source", "o.size", "o.place", "o.rate",
                                (F.col("o.copies") + F.coalesce("b.by", F.lit(0))).alias("copies")))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix: every row as often as it is taken, with all columns as they are."""
+    chosen = mix(docs, id_col, text_col, source_col)
+    key = ["id", "mark", "source"]
+    again = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
+    chosen = chosen.where("copies > 0").withColumn("again", again)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"),
+                       F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("mark"),
+                       F.col(f"`{source_col}`").cast("string").alias("source")).withColumn("again", again)
+    taken = (rows.alias("r").join(chosen.alias("c"), _same("r", "c", *key, "again"))
+             .select("r.d", F.explode(F.sequence(F.lit(1), F.col("c.copies").cast("int"))).alias("copy")))
+    return taken.select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -170,3 +170,34 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = joined.mapInArrow(run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     i = F.col(f"`{id_col}`")
     return out.withColumn(id_col, F.when(i != repeats.NULL_ID, i))
+
+
+# The contract in SQL, by brute force.
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), p AS (
+  SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS i FROM d WHERE length(x) >= 200
+), g AS (
+  SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS h FROM p
+), f AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS nth FROM g
+), s AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM f WHERE nth > 1
+), n AS (
+  SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 100 THEN 1 ELSE 0 END)
+           OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s
+), r AS (
+  SELECT doc_id, run, min(i) AS lo, max(i) + 100 AS hi FROM n GROUP BY doc_id, run
+), k AS (
+  SELECT r.doc_id, r.lo, r.hi, coalesce(lag(r.hi) OVER (PARTITION BY r.doc_id ORDER BY r.lo), 0) AS at FROM r
+), c AS (
+  SELECT k.doc_id, sum(k.hi - k.lo) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(d.x, 2 * k.at + 1, 2 * (k.lo - k.at)), '' ORDER BY k.lo) AS head, max(k.hi) AS at
+  FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id
+)
+SELECT d.doc_id, CAST(length(d.x) // 2 AS BIGINT) AS n_bytes,
+       CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN c.doc_id IS NULL THEN d.x ELSE c.head || substr(d.x, 2 * c.at + 1) END)) AS kept_sha256
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id
+"""

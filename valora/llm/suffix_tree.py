@@ -215,3 +215,24 @@ def shorten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cha
         return own.alias(c)
 
     return out.select(*[column(c) for c in names])
+
+
+# The contract in SQL, by brute force.
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50
+), g AS (
+  SELECT p.doc_id, p.i, md5(array_to_string(list_slice(d.w, p.i, p.i + 49), ' ')) AS h FROM p JOIN d USING (doc_id)
+), f AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM g
+), r AS (
+  SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS gone FROM f WHERE first < doc_id GROUP BY doc_id
+), k AS (
+  SELECT d.doc_id, d.w, coalesce(r.gone, []) AS gone FROM d LEFT JOIN r USING (doc_id)
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(gone, x)), lambda x: w[x]), ' ')) AS kept_sha256
+FROM k
+"""

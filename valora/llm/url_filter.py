@@ -125,14 +125,14 @@ RULES = (
 
 ORACLE = """
 WITH u AS (
-  SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS at FROM pages
+  SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS p FROM pages
 ), h AS (
   SELECT page_id,
-         CASE WHEN at = 0 THEN '' ELSE
-           translate(regexp_extract(substr(url, at + 3), '^[^/?#]*'),
+         CASE WHEN p = 0 THEN '' ELSE
+           translate(regexp_extract(substr(url, p + 3), '^[^/?#]*'),
                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS host,
-         CASE WHEN at = 0 THEN '' ELSE
-           regexp_extract(substr(url, at + 3), '^[^/?#]*([^?#]*)', 1) END AS path
+         CASE WHEN p = 0 THEN '' ELSE
+           regexp_extract(substr(url, p + 3), '^[^/?#]*([^?#]*)', 1) END AS path
   FROM u
 ), r(rhost, rpath, verdict) AS (
   VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
