@@ -45,11 +45,32 @@ def nan_to_null(col: Column) -> Column:
     return F.when(F.isnan(col) | (F.abs(col) == float("inf")), F.lit(None)).otherwise(col)
 
 
+def floats_to_null(df: DataFrame, skip: Iterable[str] = ()) -> DataFrame:
+    """Every float column with NaN and +-inf as NULL: the one rule for what is
+    missing, applied where rows enter cleaning, imputation, fit and transform."""
+    skip = set(skip)
+    todo = {f.name: nan_to_null(c(f.name)) for f in df.schema.fields
+            if isinstance(f.dataType, (T.FloatType, T.DoubleType)) and f.name not in skip}
+    return df.withColumns(todo) if todo else df
+
+
 def marker_to_null(col: Column, markers: Iterable[str] = NA_MARKERS) -> Column:
     trimmed = F.trim(col)
     return F.when(trimmed.isin(list(markers)), F.lit(None).cast("string")).otherwise(col)
 
 
+def typed_from_text(name: str, dtype: T.DataType) -> Column:
+    """A text column read as ``dtype``: markers are NULL, and so are texts that
+    do not parse and the non-finite numbers that Spark's cast would accept."""
+    text = marker_to_null(c(name), NA_MARKERS)
+    if isinstance(dtype, T.StringType):
+        return text.alias(name)
+    value = text.try_cast(dtype)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        value = nan_to_null(value)
+    return value.alias(name)
+
+
 def safe_div(a: Column, b: Column) -> Column:
     """a / b with NULL instead of an error or infinity on a zero divisor."""
     return nan_to_null(F.try_divide(a.cast("double"), b.cast("double")))

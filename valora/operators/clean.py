@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valora.functions.exprs import c, clip, numeric_columns, string_columns
+from valora.functions.exprs import c, clip, floats_to_null, nan_to_null, numeric_columns, string_columns
 from valora.operators.quantiles import group_medians, modes, quantile_dict
 from valora.sources.tables import broadcast_if_small
 from valora.spec import SETTINGS, ColumnSpec, Settings
@@ -74,7 +74,8 @@ def drop_known_errors(df: DataFrame, spec: ColumnSpec) -> DataFrame:
     ke = spec.known_error
     if ke is None or spec.target_col not in df.columns or ke.column not in df.columns:
         return df
-    bad = (c(ke.column) > F.lit(ke.above)) & (c(spec.target_col) < F.lit(ke.target_below))
+    value, target = (nan_to_null(c(x).cast("double")) for x in (ke.column, spec.target_col))
+    bad = (value > F.lit(ke.above)) & (target < F.lit(ke.target_below))
     return df.where(~F.coalesce(bad, F.lit(False)))
 
 
@@ -147,8 +148,8 @@ def remove_outliers(df: DataFrame, spec: ColumnSpec, settings: Settings = SETTIN
     ``fit_on``, on another frame (e.g. training rows only) after the same
     B3/B4 steps.
     """
-    out = cap_columns(drop_known_errors(df, spec), spec.caps)
-    base = out if fit_on is None else cap_columns(drop_known_errors(fit_on, spec), spec.caps)
+    out = cap_columns(drop_known_errors(floats_to_null(df), spec), spec.caps)
+    base = out if fit_on is None else cap_columns(drop_known_errors(floats_to_null(fit_on), spec), spec.caps)
     return apply_outlier_bounds(out, fit_outlier_bounds(base, spec, settings), keep_flags)
 
 
@@ -168,7 +169,7 @@ def fill_absent(df: DataFrame, spec: ColumnSpec) -> DataFrame:
     for x in keep_existing(df, spec.none_fill_categorical):
         exprs[x] = F.coalesce(c(x).cast("string"), F.lit("None"))
     for x in keep_existing(df, spec.none_fill_numeric):
-        exprs[x] = F.coalesce(c(x).cast("double"), F.lit(0.0))
+        exprs[x] = F.coalesce(nan_to_null(c(x).cast("double")), F.lit(0.0))
     return df.withColumns(exprs) if exprs else df
 
 
@@ -210,7 +211,7 @@ def fill_group_median(df: DataFrame, col: str, by: str, settings: Settings = SET
         out = df.withColumn("_gmed", lookup)
     else:
         out = attach_group_value(df, gm.withColumnRenamed("median", "_gmed"), by, "_gmed", settings)
-    filled = F.coalesce(c(col).cast("double"), F.col("_gmed"))
+    filled = F.coalesce(nan_to_null(c(col).cast("double")), F.col("_gmed"))
     if fallback is not None:
         filled = F.coalesce(filled, F.lit(float(fallback)))
     return out.withColumn(col, filled).drop("_gmed").select(*[c(x) for x in df.columns])
@@ -230,7 +231,7 @@ def _literal_lookup(mapping: dict, key: Column) -> Column:
 
 def fill_missing_values(df: DataFrame, spec: ColumnSpec, settings: Settings = SETTINGS) -> DataFrame:
     """C1-C5 on one frame (statistics taken from the frame itself)."""
-    out = fill_absent(df, spec)
+    out = fill_absent(floats_to_null(df), spec)
     cols = out.columns
     nulls = null_counts(out)
     gi = spec.group_impute
@@ -256,7 +257,7 @@ def fill_missing_values(df: DataFrame, spec: ColumnSpec, settings: Settings = SE
     return out.select(*[c(x) for x in cols])
 
 
-def add_missing_columns(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
-    """Add known columns absent from the input at a constant."""
-    missing = {k: F.lit(v) for k, v in defaults.items() if k not in df.columns}
+def add_missing_columns(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """Add known columns absent from the input, each at its given value."""
+    missing = {k: v for k, v in defaults.items() if k not in df.columns}
     return df.withColumns(missing) if missing else df

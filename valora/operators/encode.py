@@ -27,13 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from valora.functions.exprs import c, is_numeric, string_columns
+from valora.functions.exprs import c, floats_to_null, is_numeric, string_columns
 from valora.functions.features import engineer_features
-from valora.operators.clean import drop_columns, fill_absent, fill_missing_values, keep_existing
+from valora.operators.clean import (add_missing_columns, attach_group_value, drop_columns, fill_absent,
+                                    fill_missing_values, keep_existing)
 from valora.operators.quantiles import group_medians, modes_from_counts, quantile_dict, value_counts
 from valora.spec import SETTINGS, ColumnSpec, FeatureDef, KnownError, Settings
 
 _LITERAL_MAP_MAX = 5_000
+_KEPT = "__valora_in_"
+_GROUP = "__valora_group"
 
 
 def spec_to_json(spec: ColumnSpec) -> dict:
@@ -80,7 +83,7 @@ class Preprocessor:
 
     def fit(self, df: DataFrame) -> PreprocessorModel:
         spec, st = self.spec, self.settings
-        base = df.drop(spec.target_col) if spec.target_col in df.columns else df
+        base = floats_to_null(df.drop(spec.target_col) if spec.target_col in df.columns else df)
         # The statistics below make several passes: keep the input cached
         # for the duration of the fit (recomputed from lineage if lost).
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
@@ -113,10 +116,8 @@ class Preprocessor:
         gi = spec.group_impute
         if gi and gi[0] in x.columns and gi[1] in x.columns:
             gm = group_medians(x, gi[0], [gi[1]], st, row_bound=n_rows)
-            rows = gm.limit(_LITERAL_MAP_MAX + 1).collect()
-            if len(rows) > _LITERAL_MAP_MAX:
-                raise ValueError(f"too many groups in {gi[1]} for a lookup table")
-            gmap = {r[gi[1]]: r["median"] for r in rows if r[gi[1]] is not None}
+            # one number per group is part of the model's state
+            gmap = {str(r[gi[1]]): r["median"] for r in gm.collect() if r[gi[1]] is not None}
             gfall = (med.get(gi[0]) if gi[0] in med else
                      quantile_dict(x, [gi[0]], [0.5], st, row_bound=n_rows)[gi[0]][0])
 
@@ -131,16 +132,17 @@ class Preprocessor:
                 obj_mode = {r["column"]: r["mode"] for r in
                             modes_from_counts(counts.where(F.col("column").isin(strings))).collect()}
             if nominal:
-                limit = st.max_categories * len(nominal)
-                crow = (counts.where(F.col("column").isin(nominal)).select("column", "value")
-                        .limit(limit + 1).collect())
+                # one feature per category is part of the model's state
+                crow = counts.where(F.col("column").isin(nominal)).select("column", "value").collect()
                 for r in crow:
                     cats.setdefault(r["column"], []).append(r["value"])
                 for n in nominal:
                     vals = cats.get(n, [])
-                    if len(vals) > st.max_categories:
+                    if st.max_categories is not None and len(vals) > st.max_categories:
                         raise ValueError(f"{n} has more than {st.max_categories} categories")
-                    if is_numeric(x.schema[n].dataType):
+                    if isinstance(x.schema[n].dataType, T.IntegralType):
+                        vals = [int(v) for v in vals]
+                    elif is_numeric(x.schema[n].dataType):
                         vals = [float(v) for v in vals]
                     cats[n] = sorted(vals, key=_category_key)
 
@@ -205,19 +207,14 @@ class PreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         if not self.fitted:
             raise RuntimeError("Preprocessor must be fitted before transform().")
         s, spec = self.stats, self.spec
+        kept = [n for n in df.columns if n.startswith(_KEPT)]  # copies to hand back as they came
         x = drop_columns(df, [d for d in spec.drop_cols])
-        x = fill_absent(x, spec)
+        x = fill_absent(floats_to_null(x, skip=kept), spec)
         x = engineer_features(x, spec)
         known = s["numeric"] + s["ordinal"] + s["nominal"]
-        add: dict[str, Column] = {}
-        for n in known:
-            if n not in x.columns:
-                if n in s["ordinal"] or n in s["nominal"]:
-                    add[n] = F.lit(s["object_center"].get(n, "None"))
-                else:
-                    add[n] = F.lit(s["numeric_center"].get(n, 0.0)).cast("double")
-        if add:
-            x = x.withColumns(add)
+        x = add_missing_columns(x, {
+            n: F.lit(s["object_center"].get(n, "None")) if n in s["ordinal"] or n in s["nominal"]
+            else F.lit(s["numeric_center"].get(n, 0.0)).cast("double") for n in known})
 
         fill: dict[str, Column] = {}
         gi = spec.group_impute
@@ -226,8 +223,10 @@ class PreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
             gmap = s["group_map"]
             if len(gmap) <= _LITERAL_MAP_MAX:
                 gv = _lookup(gmap, key)
-            else:  # large lookups go through a join instead of a literal map
-                raise ValueError("group lookup table too large for a literal map")
+            else:  # too many for a literal map: a join with the table of groups
+                table = x.sparkSession.createDataFrame(list(gmap.items()), f"{_GROUP} string, {_GROUP}_value double")
+                x = attach_group_value(x.withColumn(_GROUP, key), table, _GROUP, f"{_GROUP}_value")
+                gv = F.col(f"{_GROUP}_value")
             fill[gi[0]] = F.coalesce(c(gi[0]).cast("double"), gv, F.lit(float(s["group_fallback"])))
         for n, v in s["numeric_center"].items():
             if n in x.columns and n not in fill and v is not None:
@@ -237,7 +236,7 @@ class PreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
                 fill[n] = F.coalesce(c(n).cast("string"), F.lit(v))
         # Final safety: encoders never see a null.
         for f in x.schema.fields:
-            if f.name in fill:
+            if f.name in fill or f.name in kept:
                 continue
             if isinstance(f.dataType, T.StringType):
                 fill[f.name] = F.coalesce(c(f.name), F.lit(s["object_center"].get(f.name, "None")))
@@ -273,14 +272,14 @@ class PreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
     def transform_columns(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """Named feature columns in fitted order, plus ``keep`` columns."""
         keep = [k for k in (keep or []) if k in df.columns]
-        x = self._prepare(df.withColumns({f"__keep_{i}": c(k) for i, k in enumerate(keep)})
+        x = self._prepare(df.withColumns({f"{_KEPT}{i}": c(k) for i, k in enumerate(keep)})
                           if keep else df)
-        kept = [F.col(f"`__keep_{i}`").alias(k) for i, k in enumerate(keep)]
+        kept = [F.col(f"`{_KEPT}{i}`").alias(k) for i, k in enumerate(keep)]
         return x.select(*kept, *self.feature_exprs(x))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         """Input columns kept, plus the assembled vector ``outputCol``."""
-        x = self._prepare(df.withColumns({f"__in_{i}": c(n) for i, n in enumerate(df.columns)}))
+        x = self._prepare(df.withColumns({f"{_KEPT}{i}": c(n) for i, n in enumerate(df.columns)}))
         feats = self.feature_exprs(x)
         vec = array_to_vector(F.array(*feats)).alias(self.getOrDefault(self.outputCol))
-        return x.select(*[F.col(f"`__in_{i}`").alias(n) for i, n in enumerate(df.columns)], vec)
+        return x.select(*[F.col(f"`{_KEPT}{i}`").alias(n) for i, n in enumerate(df.columns)], vec)

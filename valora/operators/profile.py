@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from valora.functions.exprs import c, nan_to_null, numeric_columns, string_columns
+from valora.functions.exprs import c, floats_to_null, nan_to_null, numeric_columns, string_columns
 from valora.operators.quantiles import medians, quantiles
 from valora.sources.tables import broadcast_if_small
 from valora.spec import SETTINGS, ColumnSpec, Settings
@@ -56,7 +56,9 @@ def target_stats(df: DataFrame, target: str, settings: Settings = SETTINGS) -> D
 
 
 def missing_values(df: DataFrame) -> DataFrame:
-    """F3 + F4: null count and percentage per column, >0 only, descending."""
+    """F3 + F4: missing count (null or NaN) and percentage per column, >0 only,
+    descending."""
+    df = floats_to_null(df)
     total = F.count(F.lit(1))
     row = df.agg(total.alias("__n"), *[F.count_if(c(x).isNull()).alias(f"m{i}")
                                        for i, x in enumerate(df.columns)])
@@ -65,7 +67,7 @@ def missing_values(df: DataFrame) -> DataFrame:
     return (row.select("__n", F.inline(arr))
             .where(F.col("n_missing") > 0)
             .select("column", "n_missing",
-                    F.round(F.col("n_missing") * 100.0 / F.col("__n"), 2).alias("pct_missing"))
+                    F.bround(F.col("n_missing") * 100.0 / F.col("__n"), 2).alias("pct_missing"))
             .orderBy(F.desc("n_missing"), "column"))
 
 
@@ -235,7 +237,3 @@ def profile(df: DataFrame, spec: ColumnSpec, settings: Settings = SETTINGS,
     if spec.scatter and all(x in df.columns for x in spec.scatter) and spec.id_col in df.columns:
         out["points"] = point_sample(df, spec.scatter, spec.id_col, 0.1, settings.seed)
     return out
-
-
-def sqrt_bias(n: int) -> float:
-    return math.sqrt(n * (n - 1)) / (n - 2) if n > 2 else float("nan")

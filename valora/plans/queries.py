@@ -266,6 +266,24 @@ def q_group_median(spark, d):
     return round_doubles(clean.fill_group_median(s, "c_acctbal", "n_name", compute_fallback=True))
 
 
+# NaN put in by key modulus, for the queries that show it is read as missing.
+_NAN_MOD = {"c_acctbal": 13, "line_price": 19, "max_tax": 11}
+
+
+def _sales_nan(spark: SparkSession, d: str) -> DataFrame:
+    return _sales(spark, d).withColumns({
+        k: F.when(F.col(ID) % m == 0, F.lit(float("nan"))).otherwise(c(k)) for k, m in _NAN_MOD.items()})
+
+
+# The same in SQL: ``sales`` is the table with NaN, read as NULL.
+SALES_NAN_SQL = SALES_SQL.replace("sales AS (", "sales_raw AS (", 1) + f""",
+sales_nan AS (SELECT * REPLACE ({', '.join(
+    f"CASE WHEN o_orderkey % {m} = 0 THEN 'NaN'::DOUBLE ELSE {q(k)} END AS {q(k)}" for k, m in _NAN_MOD.items())})
+  FROM sales_raw),
+sales AS (SELECT * REPLACE ({', '.join(
+    f"CASE WHEN isnan({q(k)}) THEN NULL ELSE {q(k)} END AS {q(k)}" for k in _NAN_MOD)}) FROM sales_nan)"""
+
+
 # Columns that hold nulls after C1-C3 at every driver scale (orders without
 # lines, injected nulls).
 _C4_COLS = ("max_discount", "max_tax", "last_ship_year", "ship_lag_days")
@@ -296,6 +314,11 @@ def q_fill(spark, d):
     return round_doubles(clean.fill_missing_values(_sales(spark, d), SPEC))
 
 
+@register("missing_nan_fill", f"WITH {SALES_NAN_SQL}, {_fill_ctes('sales', 'f')} SELECT {_sel(_FILLED_TYPES)} FROM f3")
+def q_nan_fill(spark, d):
+    return round_doubles(clean.fill_missing_values(_sales_nan(spark, d), SPEC))
+
+
 # ------------------------------------------------------------------ features
 
 _FEAT = features_sql(SALES_COLS, SPEC.features)
@@ -367,6 +390,14 @@ def q_missing(spark, d):
     return round_doubles(profile.missing_values(_sales(spark, d)))
 
 
+@register("missing_nan_profile", f"""
+WITH {SALES_NAN_SQL}, m AS ({_MISSING_UNION})
+SELECT "column", n_missing, {r4('round(n_missing * 100.0 / n, 2)')} AS pct_missing
+FROM m WHERE n_missing > 0 ORDER BY n_missing DESC, "column" """)
+def q_nan_missing(spark, d):
+    return round_doubles(profile.missing_values(_sales_nan(spark, d)))
+
+
 _NUM = [k for k, t in SALES_TYPES.items() if t in ("long", "int", "double")]
 _CORR_UNION = " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, "
@@ -567,6 +598,18 @@ def q_fit_numeric(spark, d):
     return round_doubles(spark.createDataFrame(rows, "column string, median double, mean double, std double"))
 
 
+@register("missing_nan_fit", f"""
+WITH {SALES_NAN_SQL}, {_fit_ctes()}, {_stats_sql()},
+u AS ({' UNION ALL '.join(
+    f"SELECT '{n}' AS \"column\", {q('med_' + n)} AS median, {q('avg_' + n)} AS mean, {q('sd_' + n)} AS std FROM st"
+    for n in _MODEL_NUM)})
+SELECT "column", {r4('median')} AS median, {r4('mean')} AS mean, {r4('std')} AS std FROM u""")
+def q_nan_fit(spark, d):
+    s = _fit_model(spark, d, _sales_nan).stats
+    rows = [(n, s["numeric_center"].get(n), s["mean"].get(n), s["std"].get(n)) for n in s["numeric"]]
+    return round_doubles(spark.createDataFrame(rows, "column string, median double, mean double, std double"))
+
+
 @register("fit_modes", f"""
 WITH {SALES_SQL}, {_fit_ctes()}, {_stats_sql()}
 {' UNION ALL '.join(f"SELECT '{n}' AS \"column\", {q('mode_' + n)} AS mode FROM st" for n in _STRINGS)}""")
@@ -583,8 +626,8 @@ def q_fit_groups(spark, d):
     return round_doubles(spark.createDataFrame(sorted(s["group_map"].items()), "n_name string, median double"))
 
 
-def _fit_model(spark: SparkSession, d: str):
-    marked = with_split(_sales(spark, d), ID, SETTINGS)
+def _fit_model(spark: SparkSession, d: str, source=_sales):
+    marked = with_split(source(spark, d), ID, SETTINGS)
     return Preprocessor(SPEC, scale=True).fit(marked.where(~F.col("is_test")).drop("is_test"))
 
 
@@ -614,12 +657,21 @@ def _encode_sql() -> str:
 
 @register("encode_transform", f"WITH {SALES_SQL}, {_fit_ctes()}, {_stats_sql()} {_encode_sql()}")
 def q_encode(spark, d):
-    marked = with_split(_sales(spark, d), ID, SETTINGS)
+    return _encoded(spark, d, _sales)
+
+
+def _encoded(spark: SparkSession, d: str, source) -> DataFrame:
+    marked = with_split(source(spark, d), ID, SETTINGS)
     model = Preprocessor(SPEC, scale=True).fit(marked.where(~F.col("is_test")).drop("is_test"))
     test = marked.where(F.col("is_test")).drop("is_test")
     return round_doubles(model.transform_columns(test, keep=[ID]))
 
 
+@register("missing_nan_encode", f"WITH {SALES_NAN_SQL}, {_fit_ctes()}, {_stats_sql()} {_encode_sql()}")
+def q_nan_encode(spark, d):
+    return _encoded(spark, d, _sales_nan)
+
+
 @register("fit_feature_names", None)
 def q_feature_names(spark, d):
     names = _fit_model(spark, d).feature_names

@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from valora.functions.exprs import NA_MARKERS, c, marker_to_null
+from valora.functions.exprs import NA_MARKERS, c, marker_to_null, nan_to_null, typed_from_text
 from valora.sources.registry import _fs_exists, write_json
 
+# A quote inside a quoted field is doubled.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
+
 
 def load_raw(spark: SparkSession, path: str, schema: T.StructType | None = None,
              markers=NA_MARKERS, infer: bool = True) -> DataFrame:
@@ -25,12 +28,11 @@ def load_raw(spark: SparkSession, path: str, schema: T.StructType | None = None,
     """
     if not _fs_exists(spark, path):
         raise FileNotFoundError(f"Raw data not found at {path}")
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    cleaned = raw.select(*[marker_to_null(c(x), markers).alias(x) for x in raw.columns])
+    raw = spark.read.options(**CSV_OPTIONS).option("inferSchema", False).csv(path)
     if schema is not None:
-        return cleaned.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name)
-                                if f.name in cleaned.columns else F.lit(None).cast(f.dataType).alias(f.name)
-                                for f in schema.fields])
+        return raw.select(*[typed_from_text(f.name, f.dataType) if f.name in raw.columns
+                            else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+    cleaned = raw.select(*[marker_to_null(c(x), markers).alias(x) for x in raw.columns])
     if not infer:
         return cleaned
     checks = []
@@ -45,7 +47,7 @@ def load_raw(spark: SparkSession, path: str, schema: T.StructType | None = None,
         if row[f"n{i}"] and row[f"l{i}"]:
             out.append(F.expr(f"try_cast(`{x}` AS BIGINT)").alias(x))
         elif row[f"n{i}"] and row[f"d{i}"]:
-            out.append(F.expr(f"try_cast(`{x}` AS DOUBLE)").alias(x))
+            out.append(nan_to_null(F.expr(f"try_cast(`{x}` AS DOUBLE)")).alias(x))
         elif not row[f"n{i}"]:
             out.append(F.lit(None).cast("double").alias(x))
         else:
@@ -56,7 +58,7 @@ def load_raw(spark: SparkSession, path: str, schema: T.StructType | None = None,
 def load_processed(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A2: read a cleaned table back."""
     if fmt == "csv":
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
+        return spark.read.options(**CSV_OPTIONS).option("inferSchema", True).csv(path)
     return spark.read.parquet(path)
 
 
@@ -64,7 +66,7 @@ def save_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "over
     """A3: write a table (the target stays in the row)."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(**CSV_OPTIONS).csv(path)
     else:
         w.parquet(path)
     return path

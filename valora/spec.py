@@ -98,8 +98,8 @@ class Settings:
     exact_group_rows: int = 1_000_000
     # Largest dimension table broadcast without a shuffle.
     broadcast_rows: int = 1_000_000
-    # One-hot fails loudly above this many categories in one column.
-    max_categories: int = 1_000
+    # If set, one-hot fails above this many categories in one column.
+    max_categories: int | None = None
     round_digits: int = 4
 
 

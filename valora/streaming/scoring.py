@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from valora.functions.exprs import NA_MARKERS, c, marker_to_null
+from valora.functions.exprs import c, typed_from_text
+from valora.sources.files import CSV_OPTIONS
 
 
 def score_stream(spark: SparkSession, pipeline: PipelineModel, input_dir: str, output_dir: str,
@@ -25,14 +26,11 @@ def score_stream(spark: SparkSession, pipeline: PipelineModel, input_dir: str, o
     """Read CSV files from ``input_dir`` and append ``id, predicted_price``
     parquet rows to ``output_dir``."""
     text_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
-    reader = spark.readStream.schema(text_schema).option("header", True)
+    reader = spark.readStream.schema(text_schema).options(**CSV_OPTIONS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(input_dir)
-    typed = raw.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name)
-                         if not isinstance(f.dataType, T.StringType)
-                         else marker_to_null(c(f.name), NA_MARKERS).alias(f.name)
-                         for f in schema.fields])
+    typed = raw.select(*[typed_from_text(f.name, f.dataType) for f in schema.fields])
     scored = pipeline.transform(typed).select(c(id_col), F.col("predicted_price"))
     writer = (scored.writeStream.format("parquet").option("path", output_dir)
               .option("checkpointLocation", checkpoint).outputMode("append"))
