@@ -30,17 +30,25 @@ def test_entry_runs(spark):
 
 def test_split_sizes_and_stability(spark):
     s = sales_table(spark, SF)
-    a = with_split(s, "o_orderkey").groupBy("is_test").count().collect()
-    frac = {r["is_test"]: r["count"] for r in a}
-    assert 0.15 < frac[True] / (frac[True] + frac[False]) < 0.25
-    f = with_folds(s, "o_orderkey", 5).groupBy("fold").count().collect()
-    sizes = [r["count"] for r in f]
-    assert len(sizes) == 5 and max(sizes) - min(sizes) < 0.1 * sum(sizes)
+    n = s.count()
+    sizes = {r["is_test"]: r["count"] for r in with_split(s, "o_orderkey").groupBy("is_test").count().collect()}
+    assert sizes == {True: -(-n // 5), False: n - -(-n // 5)}
+    folds = [r["count"] for r in with_folds(s, "o_orderkey", 7).groupBy("fold").count().collect()]
+    assert len(folds) == 7 and sum(folds) == n and max(folds) - min(folds) <= 1
     one = with_split(s.repartition(1), "o_orderkey").where("is_test").select("o_orderkey")
     many = with_split(s.repartition(11), "o_orderkey").where("is_test").select("o_orderkey")
     assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
 
 
+def test_split_of_odd_ids(spark):
+    few = spark.createDataFrame([("a",), ("b",), (None,), (None,)], "k string")
+    assert with_split(few, "k").count() == 4 and with_split(few, "k").where("is_test IS NULL").count() == 0
+    three = spark.createDataFrame([(i,) for i in range(3)], "k int")
+    assert sorted(r["fold"] for r in with_folds(three, "k", 5).collect()) == [0, 1, 3]
+    assert with_split(few.limit(0), "k").count() == 0 and with_folds(few.limit(0), "k").count() == 0
+    assert with_split(three, "k").where("is_test").count() == 1
+
+
 def test_sales_table_shape(spark):
     s = sales_table(spark, SF)
     n = s.count()

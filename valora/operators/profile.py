@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -208,12 +208,21 @@ def median_by_group(df: DataFrame, target: str, by: str, settings: Settings = SE
     return q.select(c(by), F.col("value").alias("median_target")).orderBy(F.desc("median_target"), c(by))
 
 
-def point_sample(df: DataFrame, cols: Sequence[str], id_col: str, fraction: float = 0.1,
-                 seed: int = 42) -> DataFrame:
-    """deterministic point sample (hash of the id, no shuffle)."""
-    from valora.operators.split import hash_bucket
-    keep = hash_bucket(c(id_col), seed) < F.lit(int(round(fraction * 10_000)))
-    return df.where(keep).select(*[c(x) for x in [id_col, *cols]])
+def point_density(df: DataFrame, x: str, y: str, color: str, bins: int = 50) -> DataFrame:
+    """all points as counts per (x bin, y bin, color), with the extremes of
+    each cell; what a plot can show of any number of rows."""
+    cols = [nan_to_null(c(x).cast("double")).alias("x"), nan_to_null(c(y).cast("double")).alias("y")]
+    v = df.select(*cols, c(color).alias(color)).where("x IS NOT NULL AND y IS NOT NULL")
+    m = v.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+
+    def cell(name: str, lo: float | None, hi: float | None) -> Column:
+        lo, hi = lo or 0.0, hi or 0.0
+        width = (hi - lo) / bins if hi > lo else 1.0
+        return F.least(F.floor((F.col(name) - F.lit(lo)) / F.lit(width)).cast("int") + 1, F.lit(bins))
+
+    return v.groupBy(cell("x", m[0], m[1]).alias("x_bin"), cell("y", m[2], m[3]).alias("y_bin"), c(color)).agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("x_min"), F.max("x").alias("x_max"),
+        F.min("y").alias("y_min"), F.max("y").alias("y_max"))
 
 
 def profile(df: DataFrame, spec: ColumnSpec, settings: Settings = SETTINGS,
@@ -234,6 +243,6 @@ def profile(df: DataFrame, spec: ColumnSpec, settings: Settings = SETTINGS,
         out["target_by_group"] = box_stats(df, t, spec.box_group, settings)
     if spec.group_impute and spec.group_impute[1] in df.columns:
         out["median_by_group"] = median_by_group(df, t, spec.group_impute[1], settings)
-    if spec.scatter and all(x in df.columns for x in spec.scatter) and spec.id_col in df.columns:
-        out["points"] = point_sample(df, spec.scatter, spec.id_col, 0.1, settings.seed)
+    if spec.scatter and all(x in df.columns for x in spec.scatter):
+        out["points"] = point_density(df, *spec.scatter)
     return out

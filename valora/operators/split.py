@@ -1,60 +1,109 @@
-"""Deterministic hold-out split and k-fold assignment.
-
-Rows are assigned from an integer hash of their id, so the split needs no
-shuffle, no sort and no driver round trip, is stable across runs, partition
-counts and executor loss, and can be reproduced in plain SQL.  The hash is a
-few multiply-mod steps whose products stay below 2**63, so it never overflows
-under ANSI arithmetic.
+"""Deterministic hold-out split and k-fold assignment (G1, G2) with exact sizes.
+
+A row's place is its rank by (hash of the id, id as text): the first
+``ceil(test_size * n)`` ranks are the hold-out, and fold ``i`` holds the ranks
+from ``ceil(i * n / k)`` on.  No row is ranked: the hash values at those ranks
+are found by counting hashes in ``CELLS`` cells, then only in the cells that
+hold a wanted rank, so the driver sees at most ``CELLS`` counts and the few
+rows of those cells, and every row is then placed by a comparison, without a
+shuffle.  The hash is part of an MD5 digest under a salt of its own per use, so
+split and folds are independent; it works for ids of any type, and SQL can
+restate it.
+
+A null id counts as the empty text: such rows are placed like any other and
+none is lost.  Rows with equal ids have one place, and stay together.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from valora.functions.exprs import c
 from valora.spec import SETTINGS, Settings
 
-# Fixed values of the hash: a 31-bit prime modulus and two multipliers.
-P31 = 2147483647
-MULT_A = 48271
-MULT_B = 69621
-BUCKETS = 10_000
+CELLS = 1 << 16
+HEX_DIGITS = 12  # of the digest: 48 bits
 
 
-def hash_int(id_col: Column, seed: int) -> Column:
-    """Integer in [0, 2**31 - 1) from an integral id (strings use xxhash64)."""
-    h0 = F.pmod(id_col.cast("long"), F.lit(P31))
-    h1 = F.pmod(h0 * MULT_A + F.lit(seed + 1), F.lit(P31))
-    h2 = F.pmod(h1 * MULT_B, F.lit(P31))
-    return F.pmod(h2 * MULT_A, F.lit(P31))
+def split_salt(settings: Settings = SETTINGS) -> str:
+    return f"split-{settings.seed}"
 
 
-def hash_int_sql(id_sql: str, seed: int) -> str:
-    """The same hash as SQL text (for the oracle)."""
-    h0 = f"((({id_sql}) % {P31}) + {P31}) % {P31}"
-    h1 = f"((({h0}) * {MULT_A} + {seed + 1}) % {P31})"
-    h2 = f"((({h1}) * {MULT_B}) % {P31})"
-    return f"((({h2}) * {MULT_A}) % {P31})"
+def fold_salt(settings: Settings = SETTINGS) -> str:
+    return f"fold-{settings.seed}"
 
 
-def hash_bucket(id_col: Column, seed: int) -> Column:
-    return F.pmod(hash_int(id_col, seed), F.lit(BUCKETS))
+def _id_text(id_col: Column) -> Column:
+    return F.coalesce(id_col.cast("string"), F.lit(""))
 
 
-def _id_hash(df: DataFrame, id_col: str, seed: int) -> Column:
-    dtype = df.schema[id_col].dataType
-    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return hash_int(c(id_col), seed)
-    return F.pmod(F.xxhash64(c(id_col), F.lit(seed)), F.lit(P31))
+def hash_int(id_col: Column, salt: str) -> Column:
+    """48 bits of the MD5 digest of the salt and the id."""
+    digest = F.md5(F.concat(F.lit(f"{salt}:"), _id_text(id_col)).cast("binary"))
+    return F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("long")
+
+
+def hash_int_sql(id_sql: str, salt: str) -> str:
+    """The same hash as SQL text (for the oracle)."""
+    digest = f"md5('{salt}:' || coalesce(CAST({id_sql} AS VARCHAR), ''))"
+    return f"CAST('0x' || substr({digest}, 1, {HEX_DIGITS}) AS BIGINT)"
+
+
+def rank_sql(id_sql: str, salt: str) -> str:
+    """The 0-based rank as SQL text."""
+    return (f"(row_number() OVER (ORDER BY {hash_int_sql(id_sql, salt)}, "
+            f"coalesce(CAST({id_sql} AS VARCHAR), '')) - 1)")
+
+
+def _places_at(df: DataFrame, id_col: str, salt: str,
+               ranks_of: Callable[[int], list[int]]) -> tuple[int, list[tuple[int, str]]]:
+    """The row count ``n``, and ``(hash, id as text)`` at the 0-based ranks
+    ``ranks_of(n)``."""
+    rows = df.select(hash_int(c(id_col), salt).alias("h"), _id_text(c(id_col)).alias("t"))
+    shift = 4 * HEX_DIGITS - int(math.log2(CELLS))
+    cell = F.shiftright("h", shift)
+    counts = sorted((r["cell"], r["n"]) for r in
+                    rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect())
+    n = sum(x for _, x in counts)
+    ranks = ranks_of(n)
+    before, hit = 0, {}
+    for x, size in counts:
+        own = [r for r in ranks if before <= r < before + size]
+        if own:
+            hit[x] = [(r, r - before) for r in own]
+        before += size
+    found: dict[int, tuple[int, str]] = {}
+    if hit:
+        # of equal rows their number is enough
+        inside = (rows.where(cell.isin(list(hit))).groupBy("h", "t")
+                  .agg(F.count(F.lit(1)).alias("n")).orderBy("h", "t").collect())
+        for x, places in hit.items():
+            at = 0
+            for r in (r for r in inside if r["h"] >> shift == x):
+                found.update({rank: (r["h"], r["t"]) for rank, place in places if at <= place < at + r["n"]})
+                at += r["n"]
+    return n, [found[r] for r in ranks]
+
+
+def _at_or_after(id_col: Column, salt: str, place: tuple[int, str]) -> Column:
+    h, t = hash_int(id_col, salt), _id_text(id_col)
+    return (h > F.lit(place[0])) | ((h == F.lit(place[0])) & (t >= F.lit(place[1])))
 
 
 def with_split(df: DataFrame, id_col: str, settings: Settings = SETTINGS,
                col: str = "is_test") -> DataFrame:
-    """G1: add ``is_test`` (boolean), about ``test_size`` of the rows."""
-    cut = int(round(settings.test_size * BUCKETS))
-    return df.withColumn(col, F.pmod(_id_hash(df, id_col, settings.seed), F.lit(BUCKETS)) < cut)
+    """G1: add ``is_test``, true for exactly ``ceil(test_size * n)`` rows (fewer
+    only where equal ids straddle the cut)."""
+    salt = split_salt(settings)
+    n, places = _places_at(df, id_col, salt, lambda n: [
+        r for r in [math.ceil(settings.test_size * n - 1e-9)] if 0 < r < n])
+    if not places:
+        return df.withColumn(col, F.lit(n > 0 and settings.test_size >= 1))
+    return df.withColumn(col, ~_at_or_after(c(id_col), salt, places[0]))
 
 
 def train_test_split(df: DataFrame, id_col: str, settings: Settings = SETTINGS) -> tuple[DataFrame, DataFrame]:
@@ -65,6 +114,15 @@ def train_test_split(df: DataFrame, id_col: str, settings: Settings = SETTINGS)
 
 def with_folds(df: DataFrame, id_col: str, k: int | None = None, settings: Settings = SETTINGS,
                col: str = "fold") -> DataFrame:
-    """Integer fold in [0, k) from the id hash (mixed with another seed)."""
-    k = k or settings.cv_folds
-    return df.withColumn(col, F.pmod(_id_hash(df, id_col, settings.seed + 7919), F.lit(k)).cast("int"))
+    """Integer fold in [0, k); sizes differ by at most one."""
+    k, salt = k or settings.cv_folds, fold_salt(settings)
+
+    def starts(n: int) -> dict[int, int]:
+        """First rank of each fold that has rows; of empty folds the last counts."""
+        return {-(-i * n // k): i for i in range(1, k) if -(-i * n // k) < n}
+
+    n, places = _places_at(df, id_col, salt, lambda n: sorted(starts(n)))
+    fold = F.lit(0)
+    for (_, i), place in zip(sorted(starts(n).items()), places, strict=True):
+        fold = F.when(_at_or_after(c(id_col), salt, place), F.lit(i)).otherwise(fold)
+    return df.withColumn(col, fold.cast("int"))

@@ -19,7 +19,7 @@ from valora.operators import clean, profile
 from valora.operators.encode import Preprocessor
 from valora.operators.metrics import diagnostics, merged_metrics
 from valora.operators.quantiles import quantiles
-from valora.operators.split import hash_int_sql, with_folds, with_split
+from valora.operators.split import fold_salt, rank_sql, split_salt, train_test_split, with_folds, with_split
 from valora.plans.sql import feature_sql, features_sql, mode_sql, q, r4
 from valora.sources.records import apply_scoring_schema, union_records
 from valora.sources.tables import SALES_SQL, broadcast_if_small, read_table, sales_table
@@ -466,12 +466,32 @@ def q_box(spark, d):
     return round_doubles(profile.box_stats(_sales(spark, d), TARGET, "o_orderpriority"))
 
 
-@register("profile_point_sample", f"""
-WITH {SALES_SQL}
-SELECT o_orderkey, {r4('line_price')} AS line_price, {r4('o_totalprice')} AS o_totalprice, n_lines
-FROM sales WHERE ({hash_int_sql('o_orderkey', SETTINGS.seed)}) % 10000 < 1000""")
+@register("profile_point_density", f"""
+WITH {SALES_SQL},
+v AS (SELECT CAST(line_price AS DOUBLE) AS x, CAST(o_totalprice AS DOUBLE) AS y, n_lines FROM sales
+      WHERE line_price IS NOT NULL AND o_totalprice IS NOT NULL),
+m AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v),
+w AS (SELECT x0, y0, CASE WHEN x1 > x0 THEN (x1 - x0) / 50 ELSE 1.0 END AS dx,
+             CASE WHEN y1 > y0 THEN (y1 - y0) / 50 ELSE 1.0 END AS dy FROM m)
+SELECT least(CAST(floor((x - x0) / dx) AS INTEGER) + 1, 50) AS x_bin,
+       least(CAST(floor((y - y0) / dy) AS INTEGER) + 1, 50) AS y_bin, n_lines,
+       count(*) AS n, {r4('min(x)')} AS x_min, {r4('max(x)')} AS x_max, {r4('min(y)')} AS y_min, {r4('max(y)')} AS y_max
+FROM v, w GROUP BY x_bin, y_bin, n_lines""")
 def q_points(spark, d):
-    return round_doubles(profile.point_sample(_sales(spark, d), list(SPEC.scatter), ID, 0.1, SETTINGS.seed))
+    return round_doubles(profile.point_density(_sales(spark, d), *SPEC.scatter))
+
+
+@register("split_row_conservation", f"""
+WITH {SALES_SQL}, s AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey END AS id FROM sales),
+n AS (SELECT count(*) AS n, count(*) FILTER (id IS NULL) AS gone FROM s)
+SELECT n AS rows_in, n AS rows_out, gone AS null_ids FROM n""")
+def q_conserved(spark, d):
+    """Rows in and out of the split when a third of the ids are null."""
+    s = _sales(spark, d).select(F.when(F.col(ID) % 3 != 0, F.col(ID)).alias(ID), TARGET)
+    train, test = train_test_split(s, ID, SETTINGS)
+    both = s.select(F.lit(1).alias("i"), F.lit(0).alias("o"), F.lit(0).alias("z")).union(
+        train.union(test).select(F.lit(0), F.lit(1), c(ID).isNull().cast("int")))
+    return both.agg(F.sum("i").alias("rows_in"), F.sum("o").alias("rows_out"), F.sum("z").alias("null_ids"))
 
 
 @register("profile_median_by_group", f"""
@@ -484,7 +504,7 @@ def q_median_group(spark, d):
 
 # --------------------------------------------------------------------- split
 
-_TEST_SQL = f"(({hash_int_sql('o_orderkey', SETTINGS.seed)}) % 10000) < {int(round(SETTINGS.test_size * 10000))}"
+_TEST_SQL = f"{rank_sql('o_orderkey', split_salt())} < ceil({SETTINGS.test_size!r} * count(*) OVER ())"
 
 
 @register("split_holdout", f"WITH {SALES_SQL} SELECT o_orderkey, {_TEST_SQL} AS is_test FROM sales")
@@ -494,7 +514,7 @@ def q_split(spark, d):
 
 @register("split_folds", f"""
 WITH {SALES_SQL}
-SELECT o_orderkey, CAST(({hash_int_sql('o_orderkey', SETTINGS.seed + 7919)}) % {SETTINGS.cv_folds} AS INTEGER) AS fold
+SELECT o_orderkey, CAST({rank_sql('o_orderkey', fold_salt())} * {SETTINGS.cv_folds} // count(*) OVER () AS INTEGER) AS fold
 FROM sales""")
 def q_folds(spark, d):
     return with_folds(_sales(spark, d), ID, SETTINGS.cv_folds, SETTINGS).select(ID, "fold")
