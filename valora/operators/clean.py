@@ -3,8 +3,7 @@
 All statistics of one phase are gathered in as few jobs as possible (one
 null-count pass, one quantile pass, one value-count pass); the results are
 small dictionaries folded into a single projection as literals.  Group
-statistics are joined back through a size-checked broadcast instead of a
-window over possibly skewed groups.
+statistics are joined back instead of a window over possibly skewed groups.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from pyspark.sql import functions as F
 
 from valora.functions.exprs import c, clip, floats_to_null, nan_to_null, numeric_columns, string_columns
 from valora.operators.quantiles import group_medians, modes, quantile_dict
-from valora.sources.tables import broadcast_if_small
 from valora.spec import SETTINGS, ColumnSpec, Settings
 
 
@@ -183,12 +181,10 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, i
     return out
 
 
-def attach_group_value(df: DataFrame, table: DataFrame, key: str, value: str,
-                       settings: Settings = SETTINGS) -> DataFrame:
-    """Left-join a per-group value; the group table is broadcast only when
-    proven small, otherwise joined by shuffle."""
-    t = broadcast_if_small(table.select(c(key).alias("_gk"), c(value).alias(value)),
-                           settings.broadcast_rows)
+def attach_group_value(df: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """Left-join a per-group value; Spark broadcasts the group table if its
+    measured size is small, and splits hot groups otherwise."""
+    t = table.select(c(key).alias("_gk"), c(value).alias(value))
     return df.join(t, c(key) == F.col("_gk"), "left").drop("_gk")
 
 
@@ -198,8 +194,8 @@ def fill_group_median(df: DataFrame, col: str, by: str, settings: Settings = SET
     """Nulls -> median of the row's group, else the overall median.
 
     Both medians are taken before filling.  The per-group table is joined
-    back (broadcast only when proven small) rather than computed with a
-    window, which would put each, possibly huge, group into one task.
+    back rather than computed with a window, which would put each, possibly
+    huge, group into one task.
     """
     if compute_fallback:
         fallback = quantile_dict(df, [col], [0.5], settings, row_bound=row_bound)[col][0]
@@ -210,7 +206,7 @@ def fill_group_median(df: DataFrame, col: str, by: str, settings: Settings = SET
         lookup = _literal_lookup({r[by]: r["median"] for r in small if r[by] is not None}, c(by))
         out = df.withColumn("_gmed", lookup)
     else:
-        out = attach_group_value(df, gm.withColumnRenamed("median", "_gmed"), by, "_gmed", settings)
+        out = attach_group_value(df, gm.withColumnRenamed("median", "_gmed"), by, "_gmed")
     filled = F.coalesce(nan_to_null(c(col).cast("double")), F.col("_gmed"))
     if fallback is not None:
         filled = F.coalesce(filled, F.lit(float(fallback)))

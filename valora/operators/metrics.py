@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valora.functions.exprs import c
+from valora.operators.quantiles import quantile_dict
 
 
 def _r2(y: Column, e: Column) -> Column:
@@ -38,11 +39,12 @@ def regression_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:
     return df.agg(*regression_metric_exprs(c(y).cast("double"), c(pred).cast("double")))
 
 
-def merged_metrics(df: DataFrame, y: str, pred_log: str) -> DataFrame:
-    """J1 on expm1(prediction) and J2 on the log prediction, one pass."""
-    yy = c(y).cast("double")
-    pl = c(pred_log).cast("double")
-    return df.agg(*regression_metric_exprs(yy, F.expm1(pl)), *log_metric_exprs(yy, pl))
+def merged_metrics(df: DataFrame, y: str, pred: str, log_target: bool = True) -> DataFrame:
+    """J1 on the price scale and J2 on the log scale, one pass.  ``pred`` is
+    on the log1p scale, or on the price scale with ``log_target=False``."""
+    yy, p = c(y).cast("double"), c(pred).cast("double")
+    price, logged = (F.expm1(p), p) if log_target else (p, F.log1p(F.greatest(p, F.lit(0.0))))
+    return df.agg(*regression_metric_exprs(yy, price), *log_metric_exprs(yy, logged))
 
 
 def diagnostics(df: DataFrame, id_col: str, y: str, pred: str) -> DataFrame:
@@ -53,16 +55,13 @@ def diagnostics(df: DataFrame, id_col: str, y: str, pred: str) -> DataFrame:
 
 
 def residual_deciles(df: DataFrame, y: str, pred: str, bins: int = 10) -> DataFrame:
-    """Mean actual, mean predicted and RMSE per equal-width bin of the
-    prediction."""
-    mm = df.agg(F.min(c(pred)).alias("lo"), F.max(c(pred)).alias("hi")).first()
-    lo, hi = mm["lo"], mm["hi"]
-    if lo is None:
-        return df.sparkSession.createDataFrame([], "bin int, n long, mean_actual double, "
-                                                   "mean_predicted double, rmse double")
-    width = (hi - lo) / bins if hi > lo else 1.0
-    b = F.least(F.floor((c(pred) - F.lit(lo)) / F.lit(width)).cast("int") + 1, F.lit(bins))
+    """Rows, mean actual, mean predicted and RMSE per decile of the
+    prediction; a value at a decile belongs to the bin below it."""
+    cuts = quantile_dict(df, [pred], [i / bins for i in range(1, bins)])[pred]
+    b = F.lit(1)
+    for x in cuts:
+        b = b + F.when(c(pred) > F.lit(x), 1).otherwise(0)
     e = c(y) - c(pred)
-    return df.groupBy(b.alias("bin")).agg(
+    return df.where(c(pred).isNotNull()).groupBy(b.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(c(y)).alias("mean_actual"),
         F.avg(c(pred)).alias("mean_predicted"), F.sqrt(F.avg(e * e)).alias("rmse"))

@@ -17,7 +17,6 @@ from pyspark.storagelevel import StorageLevel
 
 from valora.functions.exprs import c, floats_to_null, nan_to_null, numeric_columns, string_columns
 from valora.operators.quantiles import medians, quantiles
-from valora.sources.tables import broadcast_if_small
 from valora.spec import SETTINGS, ColumnSpec, Settings
 
 
@@ -188,10 +187,9 @@ def box_stats(df: DataFrame, target: str, by: str, settings: Settings = SETTINGS
         F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3"))
     wide = wide.withColumn("iqr", F.col("q3") - F.col("q1"))
     m = settings.iqr_multiplier
-    fences = broadcast_if_small(wide, settings.broadcast_rows)
     v = nan_to_null(c(target).cast("double"))
     j = (df.select(c(by).alias("_g"), v.alias("_v")).where(F.col("_v").isNotNull())
-         .join(fences, F.col("_g") == c(by)))
+         .join(wide, F.col("_g") == c(by)))
     lo_f = F.col("q1") - m * F.col("iqr")
     hi_f = F.col("q3") + m * F.col("iqr")
     return j.groupBy(c(by), "q1", "median", "q3", "iqr").agg(

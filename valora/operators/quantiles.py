@@ -18,6 +18,7 @@ per-group value buffer.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from valora.spec import SETTINGS, Settings
 
 _GRID = 200
 _ACCURACY = 10_000
+BRACKETS = 50_000  # a few numbers each: some MB at most
 
 
 def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -40,6 +42,14 @@ def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> D
             .where(F.col("v").isNotNull()))
 
 
+def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys that may be null: a null group is a group."""
+    same = [F.col(f"_l.`{k}`").eqNullSafe(F.col(f"_r.`{k}`")) for k in keys]
+    joined = left.alias("_l").join(right.alias("_r"), reduce(lambda a, b: a & b, same))
+    return joined.select(*[F.col(f"_l.`{x}`") for x in left.columns],
+                         *[F.col(f"_r.`{x}`") for x in right.columns if x not in keys])
+
+
 def _interpolate(lo: F.Column, hi: F.Column, pos: F.Column) -> F.Column:
     lower, higher = F.floor(pos), F.ceil(pos)
     return F.when(lower == higher, lo).otherwise((higher - pos) * lo + (pos - lower) * hi)
@@ -93,8 +103,8 @@ def _quantiles_large(long: DataFrame, sizes: DataFrame, keys: list[str],
     values = select_ranks(long, keys, targets, settings)
     lo = values.select(*keys, F.col("r").alias("_rlo"), F.col("v").alias("_vlo"))
     hi = values.select(*keys, F.col("r").alias("_rhi"), F.col("v").alias("_vhi"))
-    out = (pt.join(lo, keys).where(F.col("_rlo") == F.floor("_pos"))
-           .join(hi, keys).where(F.col("_rhi") == F.ceil("_pos")))
+    out = _join(_join(pt, lo, keys).where(F.col("_rlo") == F.floor("_pos")), hi, keys).where(
+        F.col("_rhi") == F.ceil("_pos"))
     return out.select(*keys, "p", _interpolate(F.col("_vlo"), F.col("_vhi"), F.col("_pos"))
                       .alias("value"))
 
@@ -117,7 +127,7 @@ def select_ranks(long: DataFrame, keys: list[str], targets: DataFrame,
         if max_n <= settings.exact_group_rows:
             w = Window.partitionBy(*cur_keys).orderBy("v")
             ranked = cur.withColumn("_rank", F.row_number().over(w) - 1)
-            final = (ranked.join(tgt, cur_keys).where(F.col("_rank") == F.col("_rr"))
+            final = (_join(ranked, tgt, cur_keys).where(F.col("_rank") == F.col("_rr"))
                      .select(*keys, "r", "v"))
             answers.append(final)
             break
@@ -126,12 +136,17 @@ def select_ranks(long: DataFrame, keys: list[str], targets: DataFrame,
         pos = F.col("_rr") / F.greatest(F.col("_n") - 1, F.lit(1)) * _GRID
         ilo = F.floor(pos).cast("int") - 2
         ihi = F.ceil(pos).cast("int") + 2
-        br = tgt.join(sk, cur_keys).select(
+        br = _join(tgt, sk, cur_keys).select(
             *cur_keys, *([] if "r" in cur_keys else ["r"]), "_rr",
             F.when(ilo <= 0, F.lit(float("-inf"))).otherwise(F.element_at("_g", ilo + 1)).alias("_lo"),
             F.when(ihi >= _GRID, F.lit(float("inf"))).otherwise(F.element_at("_g", ihi + 1)).alias("_hi"),
         )
-        joined = cur.join(br, cur_keys)
+        # one row per group and target: broadcast after a count, so that the
+        # values of a hot group need not meet in one task
+        br = cut_lineage(br)
+        if br.count() <= BRACKETS:
+            br = F.broadcast(br)
+        joined = _join(cur, br, cur_keys)
         v, lo, hi = F.col("v"), F.col("_lo"), F.col("_hi")
         status = cut_lineage(joined.groupBy(*keys, "r", "_rr", "_lo", "_hi").agg(
             F.count(F.when(v < lo, 1)).alias("_below"),
@@ -151,7 +166,9 @@ def select_ranks(long: DataFrame, keys: list[str], targets: DataFrame,
         tgt = go.select(*keys, "r", (F.col("_rr") - k1).alias("_rr"))
         keep = go.select(*keys, "r", "_lo", "_hi")
         nxt_keys = list(keys) + ["r"]
-        cur = cut_lineage(cur.join(keep, cur_keys)
+        if keep.count() <= BRACKETS:
+            keep = F.broadcast(keep)
+        cur = cut_lineage(_join(cur, keep, cur_keys)
                           .where((F.col("v") > F.col("_lo")) & (F.col("v") < F.col("_hi")))
                           .select(*nxt_keys, "v"))
         cur_keys = nxt_keys

@@ -1,9 +1,9 @@
-"""Scoring (L1-L5): fitted transform + regressor + inverse log target.
+"""Scoring (L1-L5): fitted transform + regressor + inverse target.
 
 ``predict`` is one narrow stage: scan -> literal-map imputation and
-encoding -> model -> clamp/expm1/round.  Row ids come from the input's id
-column; only when it is missing are ids 1..n assigned, from per-partition
-counts and offsets (no global window, no single task).
+encoding -> model -> price.  Row ids come from the input's id column; only
+when it is missing are ids 1..n assigned, in the order of the input's
+partitions, or of files and their rows with ``files.load_raw(row_id=...)``.
 """
 
 from __future__ import annotations
@@ -11,80 +11,70 @@ from __future__ import annotations
 from pyspark.ml import Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from valora.functions.exprs import c
 from valora.operators.encode import PreprocessorModel
 from valora.operators.explain import attributions, local_explanations
-from valora.spec import SETTINGS, Settings
+from valora.session import cut_lineage
 
 
 class PriceFromLog(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """prediction (log1p scale) -> price: clamp at 0, expm1, 2 decimals."""
+    """prediction -> price with 2 decimals: clamped at 0 and ``expm1`` if the
+    model was fitted on ``log1p`` of the target, as it is otherwise."""
 
-    inputCol = Param(Params._dummy(), "inputCol", "log prediction", typeConverter=TypeConverters.toString)
+    inputCol = Param(Params._dummy(), "inputCol", "prediction", typeConverter=TypeConverters.toString)
     outputCol = Param(Params._dummy(), "outputCol", "price", typeConverter=TypeConverters.toString)
+    logTarget = Param(Params._dummy(), "logTarget", "fitted on log1p", typeConverter=TypeConverters.toBoolean)
 
-    def __init__(self, inputCol: str = "prediction", outputCol: str = "predicted_price"):
+    def __init__(self, inputCol: str = "prediction", outputCol: str = "predicted_price", logTarget: bool = True):
         super().__init__()
-        self._setDefault(inputCol="prediction", outputCol="predicted_price")
-        self._set(inputCol=inputCol, outputCol=outputCol)
+        self._setDefault(inputCol="prediction", outputCol="predicted_price", logTarget=True)
+        self._set(inputCol=inputCol, outputCol=outputCol, logTarget=logTarget)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         p = F.col(self.getOrDefault(self.inputCol))
-        return df.withColumn(self.getOrDefault(self.outputCol),
-                             F.round(F.expm1(F.greatest(p, F.lit(0.0))), 2))
+        if self.getOrDefault(self.logTarget):
+            p = F.expm1(F.greatest(p, F.lit(0.0)))
+        return df.withColumn(self.getOrDefault(self.outputCol), F.bround(p, 2))
 
 
 def with_row_index(df: DataFrame, col: str = "Id", start: int = 1) -> DataFrame:
     """Consecutive ids in the input's partition order without a global window.
 
-    One small job counts rows per partition; offsets (one value per
-    partition) are folded into a literal map.
+    The rows are written once, so that counting and numbering see the same
+    partitions; one count per partition is summed up and joined back.
     """
-    pid = F.spark_partition_id()
-    marked = df.withColumn("__pid", pid).withColumn("__mid", F.monotonically_increasing_id())
-    counts = sorted((r["__pid"], r["n"]) for r in
-                    marked.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, acc = {}, start
-    for p, n in counts:
-        offsets[p] = acc
-        acc += n
-    if not offsets:
-        return df.withColumn(col, F.lit(None).cast("long"))
-    kv = []
-    for p, o in offsets.items():
-        kv += [F.lit(p), F.lit(o)]
-    local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
-    idx = F.element_at(F.create_map(*kv), F.col("__pid")) + local
-    return marked.withColumn(col, idx.cast("long")).drop("__pid", "__mid")
-
-
-def raw_pipeline(prep: PreprocessorModel, regressor_model) -> PipelineModel:
+    marked = cut_lineage(df.withColumn("__pid", F.spark_partition_id())
+                         .withColumn("__mid", F.monotonically_increasing_id()))
+    counts = marked.groupBy("__pid").agg(F.count(F.lit(1)).alias("n"), F.min("__mid").alias("__first"))
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pid", "__first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
+    idx = F.col("__offset") + F.col("__mid") - F.col("__first") + F.lit(start)
+    return (marked.join(F.broadcast(offsets), "__pid")  # one row per partition
+            .withColumn(col, idx.cast("long")).drop("__pid", "__mid", "__first", "__offset"))
+
+
+def raw_pipeline(prep: PreprocessorModel, regressor_model, log_target: bool = True) -> PipelineModel:
     """Raw columns in, ``predicted_price`` out, as one ``PipelineModel``."""
-    return PipelineModel(stages=[prep, regressor_model, PriceFromLog()])
+    return PipelineModel(stages=[prep, regressor_model, PriceFromLog(logTarget=log_target)])
 
 
-def predict(pipeline: PipelineModel, df: DataFrame, id_col: str = "Id",
-            settings: Settings = SETTINGS) -> DataFrame:
+def predict(pipeline: PipelineModel, df: DataFrame, id_col: str = "Id") -> DataFrame:
     """L1/L3: ``id, predicted_price`` for every input row."""
     src = df if id_col in df.columns else with_row_index(df, id_col)
-    out = pipeline.transform(src)
-    if not settings.use_log_target:
-        out = out.withColumn("predicted_price", F.round(F.col("prediction"), 2))
-    return out.select(c(id_col), F.col("predicted_price").cast("double"))
+    return pipeline.transform(src).select(c(id_col), F.col("predicted_price").cast("double"))
 
 
-def predict_with_explanation(pipeline: PipelineModel, df: DataFrame, means: list[float],
+def predict_with_explanation(pipeline: PipelineModel, df: DataFrame, means: list[float] | None = None,
                              id_col: str = "Id", model_name: str = "best_model", top: int = 15) -> DataFrame:
-    """L2: prediction, base value and top attributions per row, plus the model name."""
+    """L2: prediction, base value and top attributions per row, plus the model
+    name; ``means`` are needed by linear models only."""
     prep, reg = pipeline.stages[0], pipeline.stages[1]
     src = df if id_col in df.columns else with_row_index(df, id_col)
-    x = prep.transform(src)
-    att = attributions(reg, x, means)
-    scored = PriceFromLog().transform(reg.transform(att))
-    out = local_explanations(scored, prep.feature_names, top)
+    scored = pipeline.transform(src)
+    out = local_explanations(attributions(reg, scored, means), prep.feature_names, top)
     return out.select(c(id_col), F.col("predicted_price"), "base_value", "explanation",
                       F.lit(model_name).alias("model"))
 

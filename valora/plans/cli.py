@@ -32,7 +32,7 @@ def main(argv=None) -> int:
         p = sub.add_parser(name)
         p.add_argument("--input")
         p.add_argument("--spec", choices=["house", "sales"], default="house")
-        p.add_argument("--sf-dir", default="/root/testdata/sf0.01")
+        p.add_argument("--sf-dir", help="folder of the star-schema tables")
     sub.choices["profile"].add_argument("--out", required=True)
     sub.choices["profile"].add_argument("--skip-outliers", action="store_true")
     sub.choices["train"].add_argument("--artifacts", required=True)

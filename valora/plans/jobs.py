@@ -5,7 +5,6 @@ from __future__ import annotations
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from valora.operators.clean import remove_outliers
 from valora.operators.encode import Preprocessor
@@ -15,6 +14,7 @@ from valora.operators.models import FAMILIES, compare_models, model_table, train
 from valora.operators.profile import profile
 from valora.operators.score import raw_pipeline
 from valora.operators.split import train_test_split
+from valora.session import cut_lineage
 from valora.sources.files import save_leaderboard, save_profile, save_splits, save_summary
 from valora.sources.registry import log_run, register_model, save_artifacts
 from valora.spec import SETTINGS, ColumnSpec, Settings
@@ -24,10 +24,11 @@ log = logging.getLogger("valora")
 
 def load_and_split(raw: DataFrame, spec: ColumnSpec, settings: Settings = SETTINGS,
                    out_root: str | None = None, profile_root: str | None = None,
-                   skip_outliers: bool = False):
-    """M1: clean -> profile -> hold-out split (-> saved tables)."""
-    cleaned = raw if skip_outliers else remove_outliers(raw, spec, settings)
-    report = profile(cleaned, spec, settings)
+                   skip_outliers: bool = False, skip_profile: bool = False):
+    """M1: clean -> profile -> hold-out split (-> saved tables).  The cleaned
+    rows are written once; profile, split and sinks read them."""
+    cleaned = cut_lineage(raw if skip_outliers else remove_outliers(raw, spec, settings))
+    report = {} if skip_profile else profile(cleaned, spec, settings)
     if profile_root:
         save_profile(report, profile_root)
     train, test = train_test_split(cleaned, spec.id_col, settings)
@@ -43,37 +44,31 @@ def run_training(spark: SparkSession, raw: DataFrame, spec: ColumnSpec, settings
                  parallelism: int = 4) -> dict:
     """M2: split -> fit transform -> compare -> tune -> final fit -> hold-out
     -> importance -> save, log and register."""
-    cleaned, train, test, _ = load_and_split(raw, spec, settings)
+    cleaned, train, test, _ = load_and_split(raw, spec, settings, skip_profile=True)
     prep = Preprocessor(spec, scale=True, settings=settings).fit(train)
     train_t = model_table(prep, train, spec.id_col, spec.target_col, settings)
     test_t = model_table(prep, test, spec.id_col, spec.target_col, settings)
 
     board = compare_models(train_t, families, settings, parallelism=parallelism)
-    top = board.orderBy("rank").first()
+    top = board.where("rank = 1").first()
+    if top is None:
+        raise RuntimeError(f"every candidate failed: {[r['error'] for r in board.collect()]}")
     best, best_cv = top["model"], float(top["cv_rmse_log_mean"])
     if tune:
         params, tuned = tune_model(best, train_t, n_trials, timeout_seconds, settings, parallelism)
     else:
         params, tuned = {}, {"best_cv_rmse_log": best_cv}
     model, _ = train_final_model(best, train_t, params, settings=settings)
-    holdout = merged_metrics(model.transform(test_t), "y", "prediction").first().asDict()
+    holdout = merged_metrics(model.transform(test_t), "y", "prediction", settings.use_log_target).first().asDict()
 
     importance, base = {}, None
     try:
-        means = feature_means(train_t)
-        src = train_t
-        if best not in ("Ridge", "Lasso", "ElasticNet"):
-            # per-row tree attribution is Python work: explain a seeded sample
-            # of about 1000 rows, as the original does
-            n = train_t.count()
-            if n > 1000:
-                src = train_t.sample(fraction=min(1.0, 1050.0 / n), seed=settings.seed).limit(1000)
-        imp, base = global_importance(attributions(model, src, means), prep.feature_names, 30)
+        imp, base = global_importance(attributions(model, train_t, feature_means(train_t)), prep.feature_names, 30)
         importance = {r["feature"]: r["mean_abs_value"] for r in imp.collect()}
     except NotImplementedError as exc:  # attribution not available for this family
         log.warning("attribution skipped: %s", exc)
 
-    pipeline = raw_pipeline(prep, model)
+    pipeline = raw_pipeline(prep, model, settings.use_log_target)
     metadata = {
         "model_name": f"{best}_tuned" if tune else best, "best_params": params,
         "cv_rmse_log": tuned.get("best_cv_rmse_log"), "holdout": holdout,
@@ -99,10 +94,3 @@ def run_training(spark: SparkSession, raw: DataFrame, spec: ColumnSpec, settings
     summary["pipeline"] = pipeline
     summary["leaderboard_df"] = board
     return summary
-
-
-def holdout_frame(model, test_t: DataFrame) -> DataFrame:
-    """J4 input: id, actual, predicted price."""
-    p = model.transform(test_t)
-    return p.select(p.columns[0], F.col("y").alias("actual"),
-                    F.expm1(F.col("prediction")).alias("predicted"))

@@ -9,6 +9,7 @@ order differs between engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +18,12 @@ from valora.functions.exprs import c, inverse_log_target, log_target, pct_text,
 from valora.functions.features import engineer_features
 from valora.operators import clean, profile
 from valora.operators.encode import Preprocessor
-from valora.operators.metrics import diagnostics, merged_metrics
+from valora.operators.metrics import diagnostics, merged_metrics, residual_deciles
 from valora.operators.quantiles import quantiles
 from valora.operators.split import fold_salt, rank_sql, split_salt, train_test_split, with_folds, with_split
 from valora.plans.sql import feature_sql, features_sql, mode_sql, q, r4
 from valora.sources.records import apply_scoring_schema, union_records
-from valora.sources.tables import SALES_SQL, broadcast_if_small, read_table, sales_table
+from valora.sources.tables import SALES_SQL, read_table, sales_table
 from valora.spec import SALES_SPEC, SETTINGS, FeatureDef
 
 SPEC = SALES_SPEC
@@ -537,7 +538,7 @@ def _baseline_scored(spark: SparkSession, d: str) -> DataFrame:
     gm = train.groupBy("n_name").agg(F.avg(log_target(c(TARGET))).alias("_p"))
     glob = train.agg(F.avg(log_target(c(TARGET)))).first()[0]
     test = marked.where(F.col("is_test"))
-    scored = test.join(broadcast_if_small(gm), "n_name", "left")
+    scored = test.join(gm, "n_name", "left")
     return scored.select(ID, c(TARGET).alias("y"), F.coalesce(F.col("_p"), F.lit(glob)).alias("p"))
 
 
@@ -567,6 +568,30 @@ def q_diag(spark, d):
     return round_doubles(diagnostics(s, ID, "y", "pred"))
 
 
+@register("metrics_residual_deciles", f"""
+WITH {SALES_SQL}, {_BASELINE_CTES},
+d AS (SELECT y, exp(p) - 1 AS yp FROM scored),
+k AS (SELECT {', '.join(f"quantile_cont(yp, {i / 10!r}) AS q{i}" for i in range(1, 10))} FROM d),
+b AS (SELECT y, yp, 1 + {' + '.join(f"CASE WHEN yp > q{i} THEN 1 ELSE 0 END" for i in range(1, 10))} AS bin FROM d, k)
+SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, {r4('avg(y)', 2)} AS mean_actual, {r4('avg(yp)', 2)} AS mean_predicted,
+       {r4('sqrt(avg((y - yp) * (y - yp)))', 2)} AS rmse FROM b GROUP BY bin""")
+def q_deciles(spark, d):
+    # the predictions are group means, so many rows tie at the deciles
+    s = _baseline_scored(spark, d).withColumn("pred", inverse_log_target(F.col("p")))
+    return round_doubles(residual_deciles(s, "y", "pred"), 2)
+
+
+@register("quantiles_multi_pass", f"""
+WITH {SALES_SQL}
+{' UNION ALL '.join(f"""SELECT o_orderpriority, '{x}' AS "column", CAST({p!r} AS DOUBLE) AS p, {r4(f'quantile_cont({q(x)}, {p!r})')} AS value
+FROM sales WHERE {q(x)} IS NOT NULL GROUP BY o_orderpriority""" for x in ('o_totalprice', 'line_price') for p in (0.25, 0.5, 0.9))}""")
+def q_multi_pass(spark, d):
+    """The selection that large groups take, on groups of a few thousand rows."""
+    small = replace(SETTINGS, exact_group_rows=200)
+    return round_doubles(quantiles(_sales(spark, d), ["o_totalprice", "line_price"], [0.25, 0.5, 0.9],
+                                   ["o_orderpriority"], small))
+
+
 # ----------------------------------------------------- fitted transform (E)
 
 def _fit_ctes() -> str:

@@ -7,7 +7,7 @@ type (Spark's ``nullValue`` accepts a single string only).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,10 +18,27 @@ from valora.sources.registry import _fs_exists, write_json
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 
 
+def _numbered(raw: DataFrame, row_id: str) -> DataFrame:
+    """Adds 1..n in the order of files (by path) and of the rows in them.
+
+    Rows are ranked within their file block and blocks are added up, so the
+    numbers don't depend on how blocks are packed into tasks."""
+    block = ["__path", "__start"]
+    rows = raw.select("*", F.col("_metadata.file_path").alias("__path"),
+                      F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"))
+    rank = F.row_number().over(Window.partitionBy(*block).orderBy("__at"))
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).select(
+        *block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
+    return (rows.withColumn("__rank", rank).join(offsets, block)
+            .withColumn(row_id, F.col("__offset") + F.col("__rank")).drop(*block, "__at", "__rank", "__offset"))
+
+
 def load_raw(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             markers=NA_MARKERS, infer: bool = True) -> DataFrame:
+             markers=NA_MARKERS, infer: bool = True, row_id: str | None = None) -> DataFrame:
     """A1: CSV with header; markers -> NULL; typed columns.
 
+    With ``row_id`` a file without that column gets it, 1..n in file order.
     Types come from ``schema`` when given; otherwise one aggregate pass
     decides per column whether every non-null value parses as a long, else
     a double, else it stays a string.
@@ -29,6 +46,10 @@ def load_raw(spark: SparkSession, path: str, schema: T.StructType | None = None,
     if not _fs_exists(spark, path):
         raise FileNotFoundError(f"Raw data not found at {path}")
     raw = spark.read.options(**CSV_OPTIONS).option("inferSchema", False).csv(path)
+    if row_id is not None and row_id not in raw.columns:
+        raw = _numbered(raw, row_id).withColumn(row_id, F.col(row_id).cast("string"))
+        if schema is not None and row_id not in schema.names:
+            schema = T.StructType([T.StructField(row_id, T.LongType()), *schema.fields])
     if schema is not None:
         return raw.select(*[typed_from_text(f.name, f.dataType) if f.name in raw.columns
                             else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
@@ -80,10 +101,11 @@ def save_splits(cleaned: DataFrame, train: DataFrame, test: DataFrame, root: str
 
 
 def save_profile(tables: dict[str, DataFrame], root: str) -> dict[str, str]:
-    """A4: each profile table as JSON lines."""
+    """A4: each profile table as JSON lines; all are bounded by columns, groups
+    or bins, and each becomes one file but for the point density."""
     out = {}
     for name, df in tables.items():
-        df.coalesce(1).write.mode("overwrite").json(f"{root}/{name}")
+        (df if name == "points" else df.coalesce(1)).write.mode("overwrite").json(f"{root}/{name}")
         out[name] = f"{root}/{name}"
     return out
 
@@ -105,7 +127,7 @@ def score_file(spark: SparkSession, pipeline, input_path: str, output_path: str
     """CSV in -> predictions CSV out (``<input>_predictions`` by default)."""
     from valora.operators.score import predict
     output_path = output_path or f"{input_path.rsplit('.', 1)[0]}_predictions"
-    df = load_raw(spark, input_path, schema)
+    df = load_raw(spark, input_path, schema, row_id=id_col)
     if df.limit(1).count() == 0:
         raise ValueError(f"no rows to score in {input_path}")
     predict(pipeline, df, id_col).write.mode("overwrite").option("header", True).csv(output_path)

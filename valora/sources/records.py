@@ -30,28 +30,29 @@ def records_to_frame(spark: SparkSession, data, schema: T.StructType | str | Non
             raise ValueError("no records")
         if schema is not None:
             return spark.createDataFrame(list(data), schema)
-        frames = [_one_record(spark, r) for r in data]
-        return union_records(frames)
+        return _records(spark, list(data))
     raise TypeError(f"Cannot convert {type(data)} to DataFrame")
 
 
-def _one_record(spark: SparkSession, rec: dict) -> DataFrame:
-    fields = []
-    values = []
-    for k, v in rec.items():
-        if isinstance(v, bool):
-            t = T.BooleanType()
-        elif isinstance(v, int):
-            t = T.LongType()
-        elif isinstance(v, float):
-            t = T.DoubleType()
-        elif v is None:
-            t = T.StringType()
-        else:
-            t, v = T.StringType(), str(v)
-        fields.append(T.StructField(k, t, True))
-        values.append(v)
-    return spark.createDataFrame([tuple(values)], T.StructType(fields))
+def _records(spark: SparkSession, data: list[dict]) -> DataFrame:
+    """One frame of all records: fields in order of first sight, absent ones
+    null; whole and fractional numbers mix to double, other mixtures to text."""
+    kinds: dict[str, set] = {}
+    for rec in data:
+        for k, v in rec.items():
+            kinds.setdefault(k, set())
+            if v is not None:
+                kinds[k].add(type(v) if type(v) in (bool, int, float) else str)
+    types = {k: {frozenset([bool]): T.BooleanType(), frozenset([int]): T.LongType()}.get(
+        frozenset(v), T.DoubleType() if v and v <= {int, float} else T.StringType()) for k, v in kinds.items()}
+
+    def value(k: str, v):
+        if v is None:
+            return None
+        return float(v) if isinstance(types[k], T.DoubleType) else str(v) if isinstance(types[k], T.StringType) else v
+
+    rows = [tuple(value(k, rec.get(k)) for k in types) for rec in data]
+    return spark.createDataFrame(rows, T.StructType([T.StructField(k, t) for k, t in types.items()]))
 
 
 def union_records(frames: Sequence[DataFrame]) -> DataFrame:
@@ -59,9 +60,7 @@ def union_records(frames: Sequence[DataFrame]) -> DataFrame:
     frames = list(frames)
     if not frames:
         raise ValueError("no frames")
-    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    # numeric columns that met a long in one frame and a double in another
-    return merged
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def apply_scoring_schema(df: DataFrame, spec: ColumnSpec, drop_unset: bool = True) -> DataFrame:

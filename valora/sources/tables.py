@@ -3,9 +3,8 @@
 The sales table is ``orders ⋈ customer ⋈ nation`` left-joined to per-order
 aggregates of ``lineitem``.  lineitem is aggregated *before* the join (partial
 aggregation runs map-side, so a hot order key sends one row per map task),
-and only the 25-row nation table is broadcast, after a bounded size check.
-Customer is joined by key and left to adaptive execution, which broadcasts it
-at run time only when its measured size is small.
+and the dimensions are joined by key without hints: Spark broadcasts a side
+by its size in bytes, from file statistics or as measured at run time.
 
 Missing values are injected from the order key (never rows dropped), so Spark
 and the SQL oracle see the same input.
@@ -17,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valora.functions.exprs import zero_sign
-from valora.spec import SETTINGS
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -34,16 +32,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = SETTINGS.broadcast_rows) -> DataFrame:
-    """Broadcast hint only for a side proven to have at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows; a larger side is returned
-    unchanged and joined by shuffle.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def line_aggregates(lineitem: DataFrame) -> DataFrame:
     """Per-order aggregates of lineitem (one row per l_orderkey)."""
     return lineitem.groupBy("l_orderkey").agg(
@@ -63,7 +51,7 @@ def sales_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     customer = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    nation = broadcast_if_small(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     lines = line_aggregates(read_table(spark, sf_dir, "lineitem"))
 
     cust = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "inner")

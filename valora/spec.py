@@ -92,12 +92,9 @@ class Settings:
     use_log_target: bool = True
     iqr_multiplier: float = 1.5
     target_iqr_multiplier: float = 3.0
-    max_batch_rows: int = 10_000
     # Exact quantiles hold a group's values in one task only below this size;
     # larger groups go through the bounded multi-pass selection.
     exact_group_rows: int = 1_000_000
-    # Largest dimension table broadcast without a shuffle.
-    broadcast_rows: int = 1_000_000
     # If set, one-hot fails above this many categories in one column.
     max_categories: int | None = None
     round_digits: int = 4
