@@ -676,7 +676,8 @@ def _fit_model(spark: SparkSession, d: str, source=_sales):
     return Preprocessor(SPEC, scale=True).fit(marked.where(~F.col("is_test")).drop("is_test"))
 
 
-def _encode_sql() -> str:
+def _encode_sql(rounded: bool = True) -> str:
+    show = r4 if rounded else str
     fill = []
     for n in _MODEL_NUM:
         if n == "c_acctbal":
@@ -686,12 +687,12 @@ def _encode_sql() -> str:
     num = []
     for n, f in zip(_MODEL_NUM, fill, strict=True):
         sd = f"(CASE WHEN st.{q('sd_' + n)} = 0 OR st.{q('sd_' + n)} IS NULL THEN 1.0 ELSE st.{q('sd_' + n)} END)"
-        num.append(f"{r4(f'({f} - coalesce(st.{q('avg_' + n)}, 0.0)) / {sd}')} AS {q(n)}")
+        num.append(f"{show(f'({f} - coalesce(st.{q('avg_' + n)}, 0.0)) / {sd}')} AS {q(n)}")
     filled_str = {n: f"coalesce(te2.{q(n)}, st.{q('mode_' + n)})" for n in _STRINGS}
     ords = []
     for n, ranks in SPEC.ordinal.items():
         cases = " ".join(f"WHEN '{v}' THEN {float(i)!r}" for i, v in enumerate(ranks))
-        ords.append(f"{r4(f'CASE {filled_str[n]} {cases} ELSE -1.0 END')} AS {q(n)}")
+        ords.append(f"{show(f'CASE {filled_str[n]} {cases} ELSE -1.0 END')} AS {q(n)}")
     hots = []
     for n in SPEC.nominal:
         for v in _CATEGORIES[n][1:]:
@@ -717,7 +718,17 @@ def q_nan_encode(spark, d):
     return _encoded(spark, d, _sales_nan)
 
 
-@register("fit_feature_names", None)
+_CATEGORY_UNION = " UNION ALL ".join(
+    f"SELECT {k + 1} AS grp, row_number() OVER (ORDER BY v) - 1 AS ord, '{n}_' || v AS feature "
+    f"FROM (SELECT DISTINCT {q(n)} AS v FROM tr4)" for k, n in enumerate(SPEC.nominal))
+_PLAIN_UNION = " UNION ALL ".join(
+    f"SELECT 0 AS grp, {i + 1} AS ord, '{n}' AS feature" for i, n in enumerate([*_MODEL_NUM, *SPEC.ordinal]))
+
+
+@register("fit_feature_names", f"""
+WITH {SALES_SQL}, {_fit_ctes()},
+f AS (SELECT * FROM ({_PLAIN_UNION}) UNION ALL SELECT * FROM ({_CATEGORY_UNION}) WHERE ord > 0)
+SELECT CAST(row_number() OVER (ORDER BY grp, ord) - 1 AS INTEGER) AS position, feature FROM f""")
 def q_feature_names(spark, d):
     names = _fit_model(spark, d).feature_names
     return spark.createDataFrame(list(enumerate(names)), "position int, feature string")
@@ -790,6 +801,78 @@ def q_local(spark, d):
     return explode_explanations(local_explanations(att, prep.feature_names, 15), [ID])
 
 
+# A model with given coefficients, so that SQL can restate scoring and
+# attribution in full.  Fixed values: a rule for the coefficients, an intercept.
+_FIXED_NAMES = [*_MODEL_NUM, *SPEC.ordinal, *(f"{n}_{v}" for n in SPEC.nominal for v in _CATEGORIES[n][1:])]
+_FIXED_INTERCEPT = 11.5
+_FIXED_COEFS = {n: ((37 * i) % 101 - 50) / 1000 + i / 100000 for i, n in enumerate(_FIXED_NAMES)}
+_FIXED_SQL = f"""
+WITH {SALES_SQL}, {_fit_ctes()}, {_stats_sql()}, enc AS ({_encode_sql(rounded=False)}),
+sc AS (SELECT o_orderkey, {_FIXED_INTERCEPT!r} + {' + '.join(f"{w!r} * {q(n)}" for n, w in _FIXED_COEFS.items())} AS p
+       FROM enc),
+att AS ({' UNION ALL '.join(f"SELECT o_orderkey, '{n}' AS feature, {w!r} * {q(n)} AS value FROM enc"
+                            for n, w in _FIXED_COEFS.items())})"""
+
+
+def _fixed_pipeline(spark: SparkSession, d: str):
+    """The fitted transform, the given model, the hold-out rows."""
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.regression import LinearRegressionModel
+    from pyspark.ml.common import _py2java
+    from valora.operators.score import raw_pipeline
+    marked = with_split(_sales(spark, d), ID, SETTINGS)
+    prep = Preprocessor(SPEC, scale=True).fit(marked.where(~F.col("is_test")).drop("is_test"))
+    sc = spark.sparkContext
+    coefs = _py2java(sc, Vectors.dense([_FIXED_COEFS[n] for n in prep.feature_names]))
+    model = LinearRegressionModel(sc._jvm.org.apache.spark.ml.regression.LinearRegressionModel(
+        "fixed", coefs, _FIXED_INTERCEPT))
+    return raw_pipeline(prep, model), marked.where(F.col("is_test")).drop("is_test")
+
+
+@register("score_fixed_model", f"""{_FIXED_SQL}
+SELECT o_orderkey, {r4('exp(greatest(p, 0.0)) - 1', 2)} AS predicted_price FROM sc""")
+def q_fixed_predict(spark, d):
+    from valora.operators.score import predict
+    return round_doubles(predict(*_fixed_pipeline(spark, d), ID), 2)
+
+
+@register("explain_fixed_model_top15", f"""{_FIXED_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(value) DESC, feature DESC) AS position FROM att)
+SELECT o_orderkey, {r4(repr(_FIXED_INTERCEPT))} AS base_value, CAST(position AS INTEGER) AS position, feature,
+       {r4('value')} AS value FROM r WHERE position <= 15""")
+def q_fixed_local(spark, d):
+    from valora.operators.explain import explode_explanations
+    from valora.operators.score import predict_with_explanation
+    pipe, rows = _fixed_pipeline(spark, d)
+    out = predict_with_explanation(pipe, rows, [0.0] * len(_FIXED_NAMES), ID)
+    return round_doubles(explode_explanations(out, [ID]))
+
+
+@register("explain_fixed_model_global", f"""{_FIXED_SQL},
+g AS (SELECT feature, avg(abs(value)) AS v FROM att GROUP BY feature ORDER BY v DESC, feature LIMIT 30)
+SELECT feature, {r4('v')} AS mean_abs_value FROM g""")
+def q_fixed_global(spark, d):
+    from valora.operators.explain import attributions, global_importance
+    pipe, rows = _fixed_pipeline(spark, d)
+    prep, model = pipe.stages[0], pipe.stages[1]
+    att = attributions(model, prep.transform(rows), [0.0] * len(_FIXED_NAMES))
+    return round_doubles(global_importance(att, prep.feature_names, 30)[0])
+
+
+@register("explain_forest_additivity", f"""
+WITH {SALES_SQL}, sp AS (SELECT *, {_TEST_SQL} AS is_test FROM sales)
+SELECT o_orderkey, true AS adds_up FROM sp WHERE is_test""")
+def q_forest_sums(spark, d):
+    """Base value plus attributions equals the forest's prediction, per row."""
+    from valora.operators.explain import attributions
+    from valora.operators.models import label_stats, make_model
+    _, trt, tet, _ = _model_tables(spark, d)
+    model = make_model("RandomForest", label_stats(trt), {"n_estimators": 20, "max_depth": 5}).fit(trt)
+    att = attributions(model, model.transform(tet))
+    total = F.aggregate("attributions", F.col("base_value"), lambda a, v: a + v)
+    return att.select(ID, (F.abs(total - F.col("prediction")) < 1e-8).alias("adds_up"))
+
+
 @register("explain_forest_local_top15")
 def q_forest_local(spark, d):
     """TreeSHAP attributions of a 20-tree forest for every hold-out row."""
