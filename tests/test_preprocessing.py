@@ -99,3 +99,11 @@ def test_scaling_population_std(house):
 def test_absent_coded_helper(house):
     flags = absent_coded_columns(house, H)
     assert flags["PoolQC"] is True and set(flags) <= set(H.none_fill_categorical)
+
+
+def test_stage_of_a_pipeline(house):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import LinearRegression
+    stages = [Preprocessor(H), LinearRegression(featuresCol="features", labelCol="SalePrice", regParam=1.0)]
+    out = Pipeline(stages=stages).fit(house).transform(house)
+    assert out.where("prediction IS NULL OR isnan(prediction)").count() == 0 and out.count() == 300

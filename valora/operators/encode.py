@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
-from pyspark.ml import Model
+from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -73,26 +73,27 @@ def _lookup(mapping: dict, key: Column) -> Column:
     return F.element_at(F.create_map(*kv), key)
 
 
-class Preprocessor:
-    """Estimator: ``fit(df) -> PreprocessorModel``."""
+class Preprocessor(Estimator):
+    """Estimator: ``fit(df) -> PreprocessorModel``; a stage of any ``Pipeline``."""
 
     def __init__(self, spec: ColumnSpec, scale: bool = True, settings: Settings = SETTINGS):
+        super().__init__()
         self.spec = spec
         self.scale = scale
         self.settings = settings
 
-    def fit(self, df: DataFrame) -> PreprocessorModel:
-        spec, st = self.spec, self.settings
+    def _fit(self, df: DataFrame) -> PreprocessorModel:
+        spec = self.spec
         base = floats_to_null(df.drop(spec.target_col) if spec.target_col in df.columns else df)
         # The statistics below make several passes: keep the input cached
         # for the duration of the fit (recomputed from lineage if lost).
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            return self._fit(base)
+            return self._model(base)
         finally:
             base.unpersist()
 
-    def _fit(self, base: DataFrame) -> PreprocessorModel:
+    def _model(self, base: DataFrame) -> PreprocessorModel:
         spec, st = self.spec, self.settings
         x = drop_columns(fill_missing_values(base, spec, st), spec.drop_cols)
         x = engineer_features(x, spec)
