@@ -125,6 +125,23 @@ def _repeated(key, context, id_, mark, at, by_id: bool) -> np.ndarray:
     return out
 
 
+def _merged(id_, mark, at, n, length: int) -> tuple[np.ndarray, ...]:
+    """Contexts that are known to repeat, joined where they touch, as rows with
+    a negative number of windows and a key that spreads them evenly."""
+    o = _order(id_, mark, at)
+    id_, mark, at = id_[o], mark[o], at[o]
+    end = at + n[o] + length - 1
+    new = np.ones(len(o), bool)
+    if len(o):
+        # contexts of a document end in the order in which they begin
+        new[1:] = (id_[1:] != id_[:-1]) | (mark[1:] != mark[:-1]) | (at[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(o)) - 1 if len(first) else first
+    id_, mark, at = id_[first], mark[first], at[first]
+    spread = tx.mix(id_.view(np.uint64) * np.uint64(31) + at.astype(np.uint64)).view(np.int64)
+    return spread, np.zeros(len(first), np.int64), id_, mark, at, -(end[last] - at - length + 1)
+
+
 def _batch(cols: list[np.ndarray], names: list[str], kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
@@ -147,8 +164,9 @@ def _anchor_rows(docs: DataFrame, method: Method) -> DataFrame:
             if parts:
                 key, context, i, m, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
                 again = _repeated(key, context, i, m, at, method.by_id)
-                n = np.where(again, -n, n)
-                key = np.where(again, context, key)  # spreads them evenly
+                known = _merged(i[again], m[again], at[again], n[again], method.length)
+                key, context, i, m, at, n = (
+                    np.concatenate([a[~again], b]) for a, b in zip((key, context, i, m, at, n), known, strict=True))
                 for s in range(0, len(key), 1 << 17):
                     e = slice(s, s + (1 << 17))
                     yield _batch([key[e], context[e], i[e], m[e], at[e].astype(np.int32), n[e].astype(np.int32)], names, _INTS)
@@ -223,14 +241,12 @@ def _fetch(docs: DataFrame, opened: DataFrame, blocks: int, method: Method) -> D
     block = F.pmod(F.xxhash64("key", "chunk"), F.lit(blocks)).cast("int")
     wanted = opened.groupBy("id", "mark").agg(
         F.collect_list(F.struct(block.alias("block"), "key", "chunk", "at", "n")).alias("wanted"))
-    # a left join as in apply(), so that both can read one exchange of the texts
-    joined = docs.join(wanted, ["id", "mark"], "left").select(
-        "id", "mark", F.when(F.col("wanted").isNotNull(), F.col("text")).alias("text"), "wanted")
+    joined = docs.join(wanted, ["id", "mark"]).select("id", "mark", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
         for b in batches:
-            for i in np.flatnonzero(b.column(3).is_valid().to_numpy(zero_copy_only=False)).tolist():
+            for i in range(b.num_rows):
                 own = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 if own == before:
                     continue  # a repeated row is the same document
@@ -315,9 +331,8 @@ def spans(docs: DataFrame, method: Method) -> DataFrame:
     out = state.where("key IS NULL").select("id", "mark", F.col("at").alias("lo"), F.col("n").alias("hi"))
     if not n:
         return out
-    found = _resolve(_fetch(docs, opened, n // method.per_block + 1, method), method)
+    found = cut_lineage(_resolve(_fetch(docs, opened, n // method.per_block + 1, method), method))
     if most:
-        found = cut_lineage(found)
         reps = found.where("key IS NOT NULL")
         place = F.struct("id") if method.by_id else F.struct("id", "mark", "lo")
         least = reps.groupBy("key", "window").agg(F.min(place).alias("least"))
