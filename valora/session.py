@@ -1,8 +1,7 @@
 """Session helpers: sane defaults for local runs and checkpoint handling.
 
-Library code never creates its own temporary folders.  Lineage is cut with
-``DataFrame.checkpoint()`` into the folder the cluster names in
-``spark.checkpoint.dir``; only tests and local tools set one themselves.
+Lineage is cut with ``DataFrame.checkpoint()`` into the folder the cluster names
+in ``spark.checkpoint.dir``; a folder of our own is set only where it names none.
 """
 
 from __future__ import annotations
@@ -12,7 +11,6 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.storagelevel import StorageLevel
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -39,34 +37,31 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Return the checkpoint folder named by the session.
+def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
+    """The checkpoint folder of the session.
 
-    Reads ``spark.checkpoint.dir`` (or the context's current folder).  A
-    ``fallback`` is applied only when the session names none, as in tests.
+    Reads ``spark.checkpoint.dir`` (or the context's current folder).  Only
+    where the session names none one is set: ``fallback``, else a temporary
+    folder in local mode, else a folder in the warehouse, which a cluster shares.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    named = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if named:
-        sc.setCheckpointDir(named)
-        return sc.getCheckpointDir()
-    return None
+    own = fallback or spark.conf.get("spark.checkpoint.dir", None)
+    if not own:
+        local = sc.master == "local" or sc.master.startswith("local[")
+        own = (tempfile.mkdtemp(prefix="valora-checkpoints-") if local
+               else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_valora_checkpoints")
+    sc.setCheckpointDir(own)
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint when a shared folder is configured, else persist.
-
-    A persisted frame is recomputed from its lineage if an executor is lost,
-    so both paths survive executor loss; the checkpoint also shortens plans
-    reused by iterative fits.
-    """
-    spark = df.sparkSession
-    if ensure_checkpoint_dir(spark):
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """A reliable checkpoint: later steps start from written rows, so plans that
+    are used again stay short and survive lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def ship_package(spark: SparkSession) -> None:
