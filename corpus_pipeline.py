@@ -57,12 +57,8 @@ STAGES = [
 
 
 def _stored(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Written once and read again, in the shared folder of the session; kept
-    in memory and on disk only where the session names none, as in tests."""
-    folder = ensure_checkpoint_dir(spark)
-    if folder is None:
-        return df.persist()
-    path = f"{folder}/stage-{uuid.uuid4().hex}"
+    """Written once and read again, in the shared folder of the session."""
+    path = f"{ensure_checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 

@@ -39,7 +39,7 @@ SHARD_ROWS = 16_384
 QUERY_BLOCK = 16_384
 LINKS = 16
 EF_BUILD = 96
-EF_SEARCH = 192
+EF_SEARCH = 256
 BATCH = 256
 EXPAND = 4
 
