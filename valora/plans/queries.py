@@ -22,6 +22,7 @@ from valora.operators.metrics import diagnostics, merged_metrics, residual_decil
 from valora.operators.quantiles import quantiles
 from valora.operators.split import fold_salt, rank_sql, split_salt, train_test_split, with_folds, with_split
 from valora.plans.sql import feature_sql, features_sql, mode_sql, q, r4
+from valora.session import cut_lineage
 from valora.sources.records import apply_scoring_schema, union_records
 from valora.sources.tables import SALES_SQL, read_table, sales_table
 from valora.spec import SALES_SPEC, SETTINGS, FeatureDef
@@ -67,12 +68,17 @@ def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales_table(spark, sf_dir)
 
 
+def _sales_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sales table written once, for queries that pass over it several times."""
+    return cut_lineage(_sales(spark, sf_dir))
+
+
 # ------------------------------------------------------------------ flagship
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read -> group-median imputation -> derived features -> median target
     per group, descending."""
-    s = clean.fill_group_median(_sales(spark, sf_dir), "c_acctbal", "n_name", compute_fallback=True)
+    s = clean.fill_group_median(_sales_once(spark, sf_dir), "c_acctbal", "n_name", compute_fallback=True)
     s = engineer_features(s, SPEC)
     long = quantiles(s, [TARGET, "c_acctbal", "gross_per_line"], [0.5], ["n_name"])
     wide = long.groupBy("n_name").agg(
@@ -198,7 +204,7 @@ _RO_SEL = ", ".join(
 
 @register("clean_remove_outliers", f"WITH {SALES_SQL}, {_bounds_ctes()} SELECT {_RO_SEL} FROM base, bnd")
 def q_remove_outliers(spark, d):
-    return round_doubles(clean.remove_outliers(_sales(spark, d), SPEC))
+    return round_doubles(clean.remove_outliers(_sales_once(spark, d), SPEC))
 
 
 _FLAG_SEL = ", ".join(
@@ -208,7 +214,7 @@ _FLAG_SEL = ", ".join(
 
 @register("clean_outlier_flags", f"WITH {SALES_SQL}, {_bounds_ctes()} SELECT o_orderkey, {_FLAG_SEL} FROM base, bnd")
 def q_flags(spark, d):
-    out = clean.remove_outliers(_sales(spark, d), SPEC, keep_flags=True)
+    out = clean.remove_outliers(_sales_once(spark, d), SPEC, keep_flags=True)
     return out.select(ID, *[f"{x}_was_outlier" for x in SPEC.tail_cols])
 
 
@@ -263,7 +269,7 @@ s2 AS (SELECT s.* REPLACE (coalesce(s.c_acctbal, gm.g, (SELECT median(c_acctbal)
        FROM sales s LEFT JOIN gm ON s.n_name = gm.n_name)
 SELECT {_sel(SALES_TYPES)} FROM s2""")
 def q_group_median(spark, d):
-    s = _sales(spark, d)
+    s = _sales_once(spark, d)
     return round_doubles(clean.fill_group_median(s, "c_acctbal", "n_name", compute_fallback=True))
 
 
@@ -312,7 +318,7 @@ for _k in _C4_COLS:
 
 @register("impute_fill_missing", f"WITH {SALES_SQL}, {_fill_ctes('sales', 'f')} SELECT {_sel(_FILLED_TYPES)} FROM f3")
 def q_fill(spark, d):
-    return round_doubles(clean.fill_missing_values(_sales(spark, d), SPEC))
+    return round_doubles(clean.fill_missing_values(_sales_once(spark, d), SPEC))
 
 
 @register("missing_nan_fill", f"WITH {SALES_NAN_SQL}, {_fill_ctes('sales', 'f')} SELECT {_sel(_FILLED_TYPES)} FROM f3")
@@ -375,7 +381,7 @@ SELECT {r4('avg(o_totalprice)')} AS mean, {r4('median(o_totalprice)')} AS median
        {r4('stddev_samp(o_totalprice)')} AS std, {r4('min(o_totalprice)')} AS min,
        {r4('max(o_totalprice)')} AS max, {r4('skewness(o_totalprice)')} AS skew FROM sales""")
 def q_target(spark, d):
-    return round_doubles(profile.target_stats(_sales(spark, d), TARGET))
+    return round_doubles(profile.target_stats(_sales_once(spark, d), TARGET))
 
 
 _MISSING_UNION = " UNION ALL ".join(
@@ -464,7 +470,7 @@ FROM sales s JOIN f ON s.o_orderpriority = f.o_orderpriority
 WHERE s.o_totalprice IS NOT NULL
 GROUP BY f.o_orderpriority, q1, med, q3, iqr""")
 def q_box(spark, d):
-    return round_doubles(profile.box_stats(_sales(spark, d), TARGET, "o_orderpriority"))
+    return round_doubles(profile.box_stats(_sales_once(spark, d), TARGET, "o_orderpriority"))
 
 
 @register("profile_point_density", f"""
@@ -510,7 +516,7 @@ _TEST_SQL = f"{rank_sql('o_orderkey', split_salt())} < ceil({SETTINGS.test_size!
 
 @register("split_holdout", f"WITH {SALES_SQL} SELECT o_orderkey, {_TEST_SQL} AS is_test FROM sales")
 def q_split(spark, d):
-    return with_split(_sales(spark, d), ID, SETTINGS).select(ID, "is_test")
+    return with_split(_sales_once(spark, d), ID, SETTINGS).select(ID, "is_test")
 
 
 @register("split_folds", f"""
@@ -518,7 +524,7 @@ WITH {SALES_SQL}
 SELECT o_orderkey, CAST({rank_sql('o_orderkey', fold_salt())} * {SETTINGS.cv_folds} // count(*) OVER () AS INTEGER) AS fold
 FROM sales""")
 def q_folds(spark, d):
-    return with_folds(_sales(spark, d), ID, SETTINGS.cv_folds, SETTINGS).select(ID, "fold")
+    return with_folds(_sales_once(spark, d), ID, SETTINGS.cv_folds, SETTINGS).select(ID, "fold")
 
 
 # ------------------------------------------------------------------- metrics
@@ -533,7 +539,7 @@ scored AS (SELECT s.o_orderkey, s.o_totalprice AS y,
 
 def _baseline_scored(spark: SparkSession, d: str) -> DataFrame:
     """Hold-out rows scored by the training mean of log1p(target) per group."""
-    marked = with_split(_sales(spark, d), ID, SETTINGS)
+    marked = with_split(_sales_once(spark, d), ID, SETTINGS)
     train = marked.where(~F.col("is_test"))
     gm = train.groupBy("n_name").agg(F.avg(log_target(c(TARGET))).alias("_p"))
     glob = train.agg(F.avg(log_target(c(TARGET)))).first()[0]
@@ -588,7 +594,7 @@ FROM sales WHERE {q(x)} IS NOT NULL GROUP BY o_orderpriority""" for x in ('o_tot
 def q_multi_pass(spark, d):
     """The selection that large groups take, on groups of a few thousand rows."""
     small = replace(SETTINGS, exact_group_rows=200)
-    return round_doubles(quantiles(_sales(spark, d), ["o_totalprice", "line_price"], [0.25, 0.5, 0.9],
+    return round_doubles(quantiles(_sales_once(spark, d), ["o_totalprice", "line_price"], [0.25, 0.5, 0.9],
                                    ["o_orderpriority"], small))
 
 
@@ -672,7 +678,7 @@ def q_fit_groups(spark, d):
 
 
 def _fit_model(spark: SparkSession, d: str, source=_sales):
-    marked = with_split(source(spark, d), ID, SETTINGS)
+    marked = with_split(cut_lineage(source(spark, d)), ID, SETTINGS)
     return Preprocessor(SPEC, scale=True).fit(marked.where(~F.col("is_test")).drop("is_test"))
 
 
@@ -707,7 +713,7 @@ def q_encode(spark, d):
 
 
 def _encoded(spark: SparkSession, d: str, source) -> DataFrame:
-    marked = with_split(source(spark, d), ID, SETTINGS)
+    marked = with_split(cut_lineage(source(spark, d)), ID, SETTINGS)
     model = Preprocessor(SPEC, scale=True).fit(marked.where(~F.col("is_test")).drop("is_test"))
     test = marked.where(F.col("is_test")).drop("is_test")
     return round_doubles(model.transform_columns(test, keep=[ID]))
@@ -739,7 +745,7 @@ def q_feature_names(spark, d):
 
 def _model_tables(spark: SparkSession, d: str):
     from valora.operators.models import model_table
-    marked = with_split(_sales(spark, d), ID, SETTINGS)
+    marked = with_split(_sales_once(spark, d), ID, SETTINGS)
     train = marked.where(~F.col("is_test")).drop("is_test")
     test = marked.where(F.col("is_test")).drop("is_test")
     prep = Preprocessor(SPEC, scale=True).fit(train)
@@ -820,7 +826,7 @@ def _fixed_pipeline(spark: SparkSession, d: str):
     from pyspark.ml.regression import LinearRegressionModel
     from pyspark.ml.common import _py2java
     from valora.operators.score import raw_pipeline
-    marked = with_split(_sales(spark, d), ID, SETTINGS)
+    marked = with_split(_sales_once(spark, d), ID, SETTINGS)
     prep = Preprocessor(SPEC, scale=True).fit(marked.where(~F.col("is_test")).drop("is_test"))
     sc = spark.sparkContext
     coefs = _py2java(sc, Vectors.dense([_FIXED_COEFS[n] for n in prep.feature_names]))
