@@ -8,8 +8,10 @@ order differs between engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +24,10 @@ from valora.operators.metrics import diagnostics, merged_metrics, residual_decil
 from valora.operators.quantiles import quantiles
 from valora.operators.split import fold_salt, rank_sql, split_salt, train_test_split, with_folds, with_split
 from valora.plans.sql import feature_sql, features_sql, mode_sql, q, r4
-from valora.session import cut_lineage
+from valora.session import cut_lineage, ensure_checkpoint_dir
+from valora.sources.files import load_processed, load_raw, save_splits, save_table, score_file
 from valora.sources.records import apply_scoring_schema, union_records
+from valora.sources.registry import save_artifacts
 from valora.sources.tables import SALES_SQL, read_table, sales_table
 from valora.spec import SALES_SPEC, SETTINGS, FeatureDef
 
@@ -879,6 +883,54 @@ def q_forest_sums(spark, d):
     return att.select(ID, (F.abs(total - F.col("prediction")) < 1e-8).alias("adds_up"))
 
 
+# ------------------------------------------------ files and artifacts, round trips
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("source_csv_round_trip", f"WITH {SALES_SQL} SELECT {_sel(SALES_TYPES)} FROM sales")
+def q_csv(spark, d):
+    """A3 and A1: the table written as CSV and read back with its types."""
+    sales = _sales(spark, d)
+    path = save_table(sales, _folder(spark, "csv"), "csv")
+    return round_doubles(load_raw(spark, path, sales.schema))
+
+
+@register("source_split_files", f"""
+WITH {SALES_SQL}, sp AS (SELECT *, {_TEST_SQL} AS is_test FROM sales)
+SELECT 'dataset' AS name, count(*) AS n, {r4('sum(o_totalprice)', 2)} AS total FROM sp
+UNION ALL SELECT 'train', count(*), {r4('sum(o_totalprice)', 2)} FROM sp WHERE NOT is_test
+UNION ALL SELECT 'test', count(*), {r4('sum(o_totalprice)', 2)} FROM sp WHERE is_test""")
+def q_split_files(spark, d):
+    """A3 and A2: cleaned, train and test tables written and read back."""
+    sales = _sales_once(spark, d)
+    paths = save_splits(sales, *train_test_split(sales, ID, SETTINGS), _folder(spark, "splits"))
+    total = F.sum(F.col(TARGET).cast("decimal(38, 2)")).cast("double")
+    frames = [load_processed(spark, path).agg(F.count(F.lit(1)).alias("n"), total.alias("total"))
+              .select(F.lit(name).alias("name"), "n", "total") for name, path in paths.items()]
+    return round_doubles(reduce(DataFrame.union, frames), 2)
+
+
+@register("score_csv_file", f"""{_FIXED_SQL}
+SELECT o_orderkey, {r4('exp(greatest(p, 0.0)) - 1', 2)} AS predicted_price FROM sc""")
+def q_score_file(spark, d):
+    """CSV in, predictions out."""
+    pipe, rows = _fixed_pipeline(spark, d)
+    path = save_table(rows, _folder(spark, "score"), "csv")
+    out = score_file(spark, pipe, path, f"{path}-predictions", ID, rows.schema)
+    return round_doubles(load_raw(spark, out), 2)
+
+
+@register("score_saved_model", f"""{_FIXED_SQL}
+SELECT o_orderkey, {r4('exp(greatest(p, 0.0)) - 1', 2)} AS predicted_price FROM sc""")
+def q_saved(spark, d):
+    """Artifacts saved, loaded on first use, and applied."""
+    from valora.operators.score import LazyScorer
+    pipe, rows = _fixed_pipeline(spark, d)
+    return round_doubles(LazyScorer(save_artifacts(pipe, {}, _folder(spark, "model"))).predict(rows, ID), 2)
+
+
 @register("explain_forest_local_top15")
 def q_forest_local(spark, d):
     """TreeSHAP attributions of a 20-tree forest for every hold-out row."""
