@@ -9,11 +9,12 @@ quartiles go through the bounded exact-quantile operator.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from valora.functions.exprs import c, floats_to_null, nan_to_null, numeric_columns, string_columns
 from valora.operators.quantiles import medians, quantiles
@@ -74,52 +75,43 @@ def pairwise_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFr
     """Pearson correlation per pair over rows where both are non-null:
     ``a, b, corr`` (NULL when a side has no variance).
 
-    Two aggregate passes: column means, then per pair the count, sums,
-    squares and cross products of mean-shifted values (plain multiply-adds,
-    combined map-side).  Shifting by the mean keeps the sums free of
-    cancellation; the pairwise-complete statistics follow in one projection.
+    Two passes whatever the number of columns: the means, then per Arrow batch
+    four matrix products over mean-shifted values and their null masks (counts,
+    sums, squares, cross products of all pairs at once), added up per cell.
+    Shifting by the mean keeps the sums free of cancellation.
     """
-    cols = list(dict.fromkeys([x for p in pairs for x in p]))
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, corr double")
-    vals = {x: nan_to_null(c(x).cast("double")) for x in cols}
-    src = df.select(*[vals[x].alias(f"v{i}") for i, x in enumerate(cols)]) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _pairwise(src, cols, pairs)
-    finally:
-        src.unpersist()
-
-
-def _pairwise(src: DataFrame, cols: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
-    vals = {x: F.col(f"v{i}") for i, x in enumerate(cols)}
-    mrow = src.agg(*[F.avg(vals[x]).alias(f"m{i}") for i, x in enumerate(cols)]).first()
-    z = {x: vals[x] - F.lit(float(mrow[f"m{i}"] or 0.0)) for i, x in enumerate(cols)}
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        both = z[a].isNotNull() & z[b].isNotNull()
-        za, zb = F.when(both, z[a]), F.when(both, z[b])
-        aggs += [F.count(za).alias(f"n{i}"), F.sum(za).alias(f"sa{i}"), F.sum(zb).alias(f"sb{i}"),
-                 F.sum(za * za).alias(f"qa{i}"), F.sum(zb * zb).alias(f"qb{i}"), F.sum(za * zb).alias(f"p{i}")]
-    # chunks of 16 pairs keep each aggregate under the whole-stage codegen
-    # field limit; the input is cached, so each chunk is a fast scan
-    got: dict = {}
-    for k in range(0, len(aggs), 96):
-        got.update(src.agg(*aggs[k:k + 96]).first().asDict())
-    # the per-pair statistics are k·(k+1)/2 small tuples: finish in Python
+    cols = list(dict.fromkeys([x for p in pairs for x in p]))
+    src = df.select(*[nan_to_null(c(x).cast("double")).alias(f"v{i}") for i, x in enumerate(cols)])
+    means = src.agg(*[F.avg(f"v{i}") for i in range(len(cols))]).first()
+    shift = np.array([m or 0.0 for m in means])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, len(shift), len(shift)))
+        for b in batches:
+            x = np.column_stack([col.to_numpy(zero_copy_only=False) for col in b.columns]) if b.num_rows else np.zeros((0, len(shift)))
+            there = ~np.isnan(x)
+            z, m = np.where(there, x - shift, 0.0), there.astype(float)
+            total += np.stack([m.T @ m, z.T @ m, (z * z).T @ m, z.T @ z])
+        at = np.indices(total.shape[1:]).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()),
+                                          *[pa.array(t.reshape(-1)) for t in total]], names=["i", "j", "n", "s", "q", "p"])
+
+    cells = src.mapInArrow(products, "i int, j int, n double, s double, q double, p double")
+    sums = {(r["i"], r["j"]): r for r in cells.groupBy("i", "j").agg(
+        *[F.sum(x).alias(x) for x in ("n", "s", "q", "p")]).collect()}  # one row per pair of columns
+    place = {x: i for i, x in enumerate(cols)}
     out = []
-    for i, (a, b) in enumerate(pairs):
-        n = float(got[f"n{i}"] or 0)
-        sa, sb = got[f"sa{i}"] or 0.0, got[f"sb{i}"] or 0.0
-        corr = None
+    for a, b in pairs:
+        ab, ba = sums[place[a], place[b]], sums[place[b], place[a]]
+        n, corr = ab["n"], None
         if n > 1:
-            cov = got[f"p{i}"] - sa * sb / n
-            va = got[f"qa{i}"] - sa * sa / n
-            vb = got[f"qb{i}"] - sb * sb / n
+            va, vb = ab["q"] - ab["s"] ** 2 / n, ba["q"] - ba["s"] ** 2 / n
             if va > 0 and vb > 0:
-                corr = max(-1.0, min(1.0, cov / math.sqrt(va * vb)))
+                corr = max(-1.0, min(1.0, (ab["p"] - ab["s"] * ba["s"] / n) / math.sqrt(va * vb)))
         out.append((a, b, corr))
-    return src.sparkSession.createDataFrame(out, "a string, b string, corr double")
+    return df.sparkSession.createDataFrame(out, "a string, b string, corr double")
 
 
 def correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
