@@ -156,35 +156,49 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     larger = (Window.partitionBy("source").orderBy(F.col("size").desc())
               .rowsBetween(Window.unboundedPreceding, -1))
     rates = rates.withColumn("before", F.coalesce(F.sum(F.col("rate") * F.col("k")).over(larger), F.lit(0.0)))
+    rates = (rates.alias("r").join(goals.alias("g"), _same("r", "g", "source"))
+             .select("r.*", "g.source_size", "g.target"))
 
     placed = _places(rows, rows.count())
     out = (placed.alias("p").join(rates.alias("r"), _same("p", "r", "source", "size"))
-           .select("p.id", "p.mark", "p.source", "p.size", "p.place", "rate", "before"))
+           .select("p.id", "p.mark", "p.source", "p.size", "p.place", "rate", "before", "source_size", "target"))
     at = F.col("before") + F.col("place") * F.col("rate") + 0.5
     copies = F.least(F.floor(at + F.col("rate")) - F.floor(at), F.lit(MAX_COPIES)).cast("long")
-    out = cut_lineage(out.select("id", "mark", "source", "size", "place", "rate", copies.alias("copies")))
-    for _ in range(REPAIRS):
-        out = _repair(out, goals)
-    return (out.alias("o").join(goals.alias("g"), _same("o", "g", "source"))
-            .select("o.id", "o.mark", "o.source", "o.size", "g.source_size", "g.target", "o.rate", "o.copies"))
-
-
-def _repair(out: DataFrame, goals: DataFrame) -> DataFrame:
-    """Per source, one copy more or less of the document that best closes the gap."""
-    taken = out.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"))
+    out = cut_lineage(out.select("id", "mark", "source", "size", "place", "rate", "source_size", "target",
+                                 copies.alias("copies")))
+    moves = _repairs(out, goals)
+    return (out.alias("o").join(moves.alias("m"), _same("o", "m", "source", "size", "place"), "left")
+            .select("o.id", "o.mark", "o.source", "o.size", "o.source_size", "o.target", "o.rate",
+                    (F.col("o.copies") + F.coalesce("m.by", F.lit(0))).alias("copies")))
+
+
+def _repairs(out: DataFrame, goals: DataFrame) -> DataFrame:
+    """``source, size, place, by``: per source a few documents of which one copy
+    more or less closes most of the gap.  They are chosen from one candidate
+    either way per (source, size), so no step gathers a source's documents."""
+    groups = cut_lineage(out.where("size > 0").groupBy("source", "size").agg(
+        F.min(F.when(F.col("copies") < MAX_COPIES, F.col("place"))).alias("up"),
+        F.min(F.when(F.col("copies") > 0, F.col("place"))).alias("down"),
+        (F.sum("copies") * F.col("size")).alias("taken")))
+    taken = groups.groupBy("source").agg(F.sum("taken").alias("taken"))
     gaps = (goals.alias("g").join(taken.alias("t"), _same("g", "t", "source"))
             .select("g.source", (F.col("target") - F.col("taken")).alias("gap")))
-    size = F.col("o.size")
-    may = ((F.col("gap") > 0) & (F.col("copies") < MAX_COPIES) | (F.col("gap") < 0) & (F.col("copies") > 0))
-    best = (out.alias("o").join(gaps.alias("g"), _same("o", "g", "source"))
-            .where((size > 0) & may & (size < 2 * F.abs("gap")))
-            .groupBy(F.col("o.source").alias("source"))
-            .agg(F.min(F.struct(F.abs(size - F.abs("gap")).alias("off"), size.alias("size"),
-                                F.col("o.place").alias("place"), F.signum("gap").cast("long").alias("by"))).alias("b"))
+    gap, size = F.col("gap"), F.col("c.size")
+    place = F.when(gap > 0, F.col("up")).when(gap < 0, F.col("down"))
+    moves = None
+    for _ in range(REPAIRS):
+        best = cut_lineage(
+            groups.alias("c").join(gaps.alias("g"), _same("c", "g", "source"))
+            .where(place.isNotNull() & (size < 2 * F.abs(gap)))
+            .groupBy(F.col("c.source").alias("source"))
+            .agg(F.min(F.struct(F.abs(size - F.abs(gap)).alias("off"), size.alias("size"), place.alias("place"),
+                                F.signum(gap).cast("long").alias("by"))).alias("b"))
             .select("source", "b.size", "b.place", "b.by"))
-    return cut_lineage(out.alias("o").join(best.alias("b"), _same("o", "b", "source", "size", "place"), "left")
-                       .select("o.id", "o.mark", "o.source", "o.size", "o.place", "o.rate",
-                               (F.col("o.copies") + F.coalesce("b.by", F.lit(0))).alias("copies")))
+        moves = best if moves is None else moves.union(best)
+        gaps = (gaps.alias("g").join(best.alias("b"), _same("g", "b", "source"), "left")
+                .select("g.source", (gap - F.coalesce(F.col("b.by") * F.col("b.size"), F.lit(0))).alias("gap")))
+        groups = groups.alias("c").join(best.alias("b"), _same("c", "b", "source", "size"), "left_anti")
+    return moves
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
