@@ -36,7 +36,7 @@ from valora.llm import text as tx
 from valora.llm.sharding import best_fit_decreasing
 from valora.session import cut_lineage
 
-ROWS_PER_BLOCK = 50_000
+ROWS_PER_BLOCK = 5_000
 CACHE_UNITS = 1_500_000
 
 # Byte classes of ASCII: letters, digits, punctuation; 0 for all other bytes
