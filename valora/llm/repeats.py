@@ -26,12 +26,13 @@ largest.  Nothing is capped, and every result is exact but for collisions of
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valora.llm import text as tx
@@ -322,16 +323,25 @@ def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of finished steps now: it does so when
+    the driver collects its garbage, and here they are as large as the input."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spans(docs: DataFrame, method: Method) -> DataFrame:
     """``id, mark, lo, hi``: what is covered by windows that start earlier too.
     ``docs`` comes from ``prepare``."""
     state = cut_lineage(_settle(_anchor_rows(docs, method), method))
+    _let_go(docs.sparkSession)
     opened = state.where("key IS NOT NULL")
     n, most = opened.agg(F.count(F.lit(1)), F.max("chunk")).first()
     out = state.where("key IS NULL").select("id", "mark", F.col("at").alias("lo"), F.col("n").alias("hi"))
     if not n:
         return out
     found = cut_lineage(_resolve(_fetch(docs, opened, n // method.per_block + 1, method), method))
+    _let_go(docs.sparkSession)
     if most:
         reps = found.where("key IS NOT NULL")
         place = F.struct("id") if method.by_id else F.struct("id", "mark", "lo")
