@@ -107,6 +107,26 @@ def test_odd_rows(odd_docs):
     assert len(by[None]) == 2 and by[None][0] == by[None][1]
 
 
+@pytest.mark.parametrize("batch", [10_000, 1])
+def test_repeated_rows_are_one_document(spark, batch):
+    """Rows with one id and text: nothing starts earlier in the other copy, be
+    it in the same batch or in another one."""
+    rnd = random.Random(17)
+    alone, shared = ("".join(rnd.choice("abcdefgh ") for _ in range(700)) for _ in range(2))
+    rows = [((1,), alone), ((2,), "zz" + shared), ((3,), shared[:400] + "q" + alone[200:]), ((4,), shared)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        for parts in (1, 7):
+            twice = [(k[0], t) for k, t in rows for _ in range(2)]
+            out = run_bytes(spark.createDataFrame(twice, "doc_id long, text string").repartition(parts))
+            expected = {k[0]: v for k, v in brute_bytes(rows).items()}
+            assert expected[1][1] == 0 and expected[2][1] == 0
+            assert sorted(out) == sorted((i, *v) for i, v in expected.items() for _ in range(2))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_long_text_in_parts(spark, monkeypatch):
     """A text longer than a block, and its copy, cut elsewhere."""
     from valora.llm import text as tx

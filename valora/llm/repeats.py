@@ -108,9 +108,11 @@ def _order(*keys: np.ndarray) -> np.ndarray:
     return np.lexsort(keys[::-1])
 
 
-def _repeated(key, context, id_, mark, at, by_id: bool) -> np.ndarray:
-    """Rows that an equal context precedes, whatever order the rows are in."""
-    out = np.zeros(len(key), bool)
+def _repeated(key, context, id_, mark, at, by_id: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that an equal context elsewhere precedes, whatever order the rows
+    are in, and rows that are the first of their context once more: those of a
+    repeated document, which nothing precedes."""
+    out, twice = np.zeros(len(key), bool), np.zeros(len(key), bool)
     both = tx.mix(key.view(np.uint64) * np.uint64(31) ^ context.view(np.uint64))
     order = np.argsort(both, kind="stable")
     same = both[order][1:] == both[order][:-1]
@@ -122,8 +124,17 @@ def _repeated(key, context, id_, mark, at, by_id: bool) -> np.ndarray:
         own = own[_order(key[own], context[own], id_[own], mark[own], at[own])]
         equal = (key[own][1:] == key[own][:-1]) & (context[own][1:] == context[own][:-1])
         first = np.maximum.accumulate(np.where(np.append(False, equal), 0, np.arange(len(own))))
-        out[own] = (id_[own] != id_[own[first]]) if by_id else (first != np.arange(len(own)))
-    return out
+        if by_id:
+            out[own] = id_[own] != id_[own[first]]
+        else:
+            out[own] = _elsewhere(id_[own], mark[own], at[own], first)
+            twice[own] = ~out[own] & (first != np.arange(len(own)))
+    return out, twice
+
+
+def _elsewhere(id_, mark, at, first) -> np.ndarray:
+    """Rows that stand at another place than the row ``first`` names for each."""
+    return (id_ != id_[first]) | (mark != mark[first]) | (at != at[first])
 
 
 def _merged(id_, mark, at, n, length: int) -> tuple[np.ndarray, ...]:
@@ -164,10 +175,11 @@ def _anchor_rows(docs: DataFrame, method: Method) -> DataFrame:
                 parts.append((key, context, ids[r + row], marks[r + row], at + place, n))
             if parts:
                 key, context, i, m, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-                again = _repeated(key, context, i, m, at, method.by_id)
+                again, twice = _repeated(key, context, i, m, at, method.by_id)
                 known = _merged(i[again], m[again], at[again], n[again], method.length)
+                rest = ~(again | twice)
                 key, context, i, m, at, n = (
-                    np.concatenate([a[~again], b]) for a, b in zip((key, context, i, m, at, n), known, strict=True))
+                    np.concatenate([a[rest], b]) for a, b in zip((key, context, i, m, at, n), known, strict=True))
                 for s in range(0, len(key), 1 << 17):
                     e = slice(s, s + (1 << 17))
                     yield _batch([key[e], context[e], i[e], m[e], at[e].astype(np.int32), n[e].astype(np.int32)], names, _INTS)
@@ -211,7 +223,7 @@ def _settle(rows: DataFrame, method: Method) -> DataFrame:
                     repeat = id_ != id_[run_first]
                     inner = ~repeat & ~new_context   # of the same id: as open as the first
                 else:
-                    repeat = ~new_context
+                    repeat = _elsewhere(id_, mark, at, run_first)
                     inner = np.zeros(size, bool)
                 sent = np.zeros(size, bool)
                 sent[:ghosts] = given
@@ -272,6 +284,10 @@ def _resolve(fetched: DataFrame, method: Method) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         cols = {c: t[c].to_numpy() for c in ("key", "chunk", "id", "mark", "at", "n")}
         order = _order(cols["id"], cols["mark"], cols["at"])
+        # a document whose rows came to several tasks is fetched by each of them
+        once = np.ones(len(order), bool)
+        once[1:] = _elsewhere(*(cols[c][order] for c in ("id", "mark", "at")), np.maximum(np.arange(len(order)) - 1, 0))[1:]
+        order = order[once]
         t = t.take(pa.array(order))
         key, chunk, id_, mark, at, n = (cols[c][order] for c in ("key", "chunk", "id", "mark", "at", "n"))
         symbols = [x.as_py() for x in t["symbols"]]
