@@ -68,6 +68,25 @@ def test_links_with_small_buckets(spark, monkeypatch):
     assert len(set(label.values())) == len(label)
 
 
+def test_large_buckets_over_batch_edges(spark, monkeypatch):
+    """Every row of a large bucket goes on, also one that is alone in its batch."""
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    mask = simhash.covering_masks(4)[0]
+    rnd = random.Random(4)
+    free = [1 << p for p in range(64) if not mask >> p & 1]
+    buckets = {rnd.getrandbits(64) & mask: rnd.randrange(1, 15) for _ in range(60)}
+    rows = {k: [k | sum(b for i, b in enumerate(free) if j >> i & 1) for j in range(n)] for k, n in buckets.items()}
+    df = spark.createDataFrame([(simhash._signed(mask), simhash._signed(x)) for v in rows.values() for x in v],
+                               "mask long, fp long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        sent = simhash._compare(df, 4, last=False).where("mask <> 0").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(r["a"] for r in sent) == sorted(simhash._signed(x) for v in rows.values() if len(v) > 8 for x in v)
+
+
 def test_whole_table(docs):
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     out = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}

@@ -131,7 +131,9 @@ def _compare(rows: DataFrame, radius: int, last: bool) -> DataFrame:
             end = np.append(edge, len(fp))
             a, b, m = [], [], []
             keep = len(fp)
-            for i in np.flatnonzero((end - start > 1) | (end == len(fp))).tolist() if len(fp) else []:
+            seen = (end - start > 1) | (end == len(fp))
+            seen[0] |= len(fp) > 0 and over == (int(mask[0]), int(key[0]))  # the rest of a large bucket, if one row
+            for i in np.flatnonzero(seen).tolist() if len(fp) else []:
                 s, e = int(start[i]), int(end[i])
                 own = (int(mask[s]), int(key[s]))
                 if not last and (own == over or e - s > BUCKET):
