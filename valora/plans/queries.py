@@ -766,9 +766,10 @@ def _linear_fit(spark: SparkSession, d: str):
 
 @register("model_leaderboard_linear")
 def q_board(spark, d):
-    from valora.operators.models import LINEAR, compare_models
+    """All eight candidates; the name is from when it held the linear ones."""
+    from valora.operators.models import FAMILIES, compare_models
     _, trt, _, _ = _model_tables(spark, d)
-    return compare_models(trt, LINEAR)
+    return compare_models(trt, FAMILIES)
 
 
 @register("model_tuning_elasticnet")
@@ -776,7 +777,7 @@ def q_tune(spark, d):
     import json
     from valora.operators.models import tune_model
     _, trt, _, _ = _model_tables(spark, d)
-    params, best = tune_model("ElasticNet", trt, n_trials=4)
+    params, best = tune_model("ElasticNet", trt, SETTINGS.n_trials)
     return spark.createDataFrame([("ElasticNet", float(best["best_cv_rmse_log"]), json.dumps(params))],
                                  "family string, best_cv_rmse_log double, params string")
 
@@ -877,7 +878,7 @@ def q_forest_sums(spark, d):
     from valora.operators.explain import attributions
     from valora.operators.models import label_stats, make_model
     _, trt, tet, _ = _model_tables(spark, d)
-    model = make_model("RandomForest", label_stats(trt), {"n_estimators": 20, "max_depth": 5}).fit(trt)
+    model = make_model("RandomForest", label_stats(trt)).fit(trt)
     att = attributions(model, model.transform(tet))
     total = F.aggregate("attributions", F.col("base_value"), lambda a, v: a + v)
     return att.select(ID, (F.abs(total - F.col("prediction")) < 1e-8).alias("adds_up"))
@@ -933,11 +934,11 @@ def q_saved(spark, d):
 
 @register("explain_forest_local_top15")
 def q_forest_local(spark, d):
-    """TreeSHAP attributions of a 20-tree forest for every hold-out row."""
+    """TreeSHAP attributions of the preset forest for every hold-out row."""
     from valora.operators.explain import attributions, explode_explanations, local_explanations
     from valora.operators.models import label_stats, make_model
     prep, trt, tet, _ = _model_tables(spark, d)
-    model = make_model("RandomForest", label_stats(trt), {"n_estimators": 20, "max_depth": 5}).fit(trt)
+    model = make_model("RandomForest", label_stats(trt)).fit(trt)
     att = attributions(model, tet)
     return explode_explanations(local_explanations(att, prep.feature_names, 15), [ID])
 
