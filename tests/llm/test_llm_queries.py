@@ -21,13 +21,15 @@ COLUMNS = {
     6: "doc_id size source_size target taken", 7: "doc_id n_words n_removed kept_sha256",
     8: "page_id host path rule verdict", 9: "doc_id size text_crc32 law shard slot grown_shard",
     10: "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    11: "doc_id n_lines n_dropped kept_sha256", 12: "doc_id leaf subroot root proof_sha256 folded_root verified",
+    13: "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
 }
 
 
 def test_all_are_registered():
     names = entry.queries()
     assert set(q.queries()) <= set(names) and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in q.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in q.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(q.oracle_sql()))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valora.llm import fingerprints, hnsw, language_id, mixing, packing, sharding, simhash, suffix_array, suffix_tree, url_filter
+from valora.llm import (fill_middle, fingerprints, hnsw, language_id, line_runs, merkle, mixing, packing, sharding, simhash,
+                        suffix_array, suffix_tree, url_filter)
 from valora.session import ship_package
 
 
@@ -62,6 +63,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_runs.deduplicate(line_runs.file_batches(_table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.transform(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -74,14 +90,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_sharding": op9_sharding,
         "op10_packing": op10_packing,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only these three can be restated; the others are tested against brute
+    """Only these can be restated; the others are tested against brute
     force, an exact round trip or held-out accuracy."""
     return {
         "op4_suffix_array_dedup": suffix_array.ORACLE,
         "op7_substring_dedup": suffix_tree.ORACLE,
         "op8_url_filter": url_filter.ORACLE,
+        "op11_line_dedup": line_runs.ORACLE,
+        "op13_fill_in_middle": fill_middle.ORACLE,
     }
