@@ -764,9 +764,9 @@ def _linear_fit(spark: SparkSession, d: str):
     return prep, trt, tet, test, model
 
 
-@register("model_leaderboard_linear")
+@register("model_leaderboard")
 def q_board(spark, d):
-    """All eight candidates; the name is from when it held the linear ones."""
+    """All eight candidates at their presets."""
     from valora.operators.models import FAMILIES, compare_models
     _, trt, _, _ = _model_tables(spark, d)
     return compare_models(trt, FAMILIES)
@@ -872,16 +872,16 @@ def q_fixed_global(spark, d):
 
 @register("explain_forest_additivity", f"""
 WITH {SALES_SQL}, sp AS (SELECT *, {_TEST_SQL} AS is_test FROM sales)
-SELECT o_orderkey, true AS adds_up FROM sp WHERE is_test""")
+SELECT o_orderkey, 0.0::DOUBLE AS gap FROM sp WHERE is_test""")
 def q_forest_sums(spark, d):
-    """Base value plus attributions equals the forest's prediction, per row."""
+    """Base value plus attributions less the preset forest's prediction, per row."""
     from valora.operators.explain import attributions
     from valora.operators.models import label_stats, make_model
     _, trt, tet, _ = _model_tables(spark, d)
     model = make_model("RandomForest", label_stats(trt)).fit(trt)
     att = attributions(model, model.transform(tet))
     total = F.aggregate("attributions", F.col("base_value"), lambda a, v: a + v)
-    return att.select(ID, (F.abs(total - F.col("prediction")) < 1e-8).alias("adds_up"))
+    return att.select(ID, F.abs(F.round(total - F.col("prediction"), 8)).alias("gap"))
 
 
 # ------------------------------------------------ files and artifacts, round trips
