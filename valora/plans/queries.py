@@ -23,7 +23,7 @@ from valora.operators.encode import Preprocessor
 from valora.operators.metrics import diagnostics, merged_metrics, residual_deciles
 from valora.operators.quantiles import quantiles
 from valora.operators.split import fold_salt, rank_sql, split_salt, train_test_split, with_folds, with_split
-from valora.plans.sql import feature_sql, features_sql, mode_sql, q, r4
+from valora.plans.sql import feature_sql, features_sql, linear_fit_sql, mode_sql, q, r4
 from valora.session import cut_lineage, ensure_checkpoint_dir
 from valora.sources.files import load_processed, load_raw, save_splits, save_table, score_file
 from valora.sources.records import apply_scoring_schema, union_records
@@ -764,6 +764,60 @@ def _linear_fit(spark: SparkSession, d: str):
     return prep, trt, tet, test, model
 
 
+_FEATURES = [*_MODEL_NUM, *SPEC.ordinal, *(f"{n}_{v}" for n in SPEC.nominal for v in _CATEGORIES[n][1:])]
+_TRAIN_ENCODED = f"""
+ts1 AS (SELECT * REPLACE ({_absent_replace()}) FROM (SELECT * EXCLUDE (is_test) FROM sp WHERE NOT is_test)),
+ts2 AS (SELECT *, {", ".join(f"{e} AS {q(n)}" for n, e in features_sql(SALES_COLS, SPEC.features).items())} FROM ts1),
+etr AS ({_encode_sql(rounded=False).replace("te2", "ts2")}),
+xy AS (SELECT etr.*, ln(1 + sp.o_totalprice) AS y FROM etr JOIN sp ON etr.o_orderkey = sp.o_orderkey)"""
+
+
+def _linear_sql(l1: float, l2: str, exact: bool = True) -> str:
+    """Everything up to the fitted coefficients ``sol``, by SQL alone."""
+    return (f"WITH RECURSIVE {SALES_SQL}, {_fit_ctes()}, {_stats_sql()}, {_TRAIN_ENCODED}, "
+            f"{linear_fit_sql('xy', _FEATURES, l1, l2, exact=exact)}")
+
+
+def _optimality_sql(l1: float, l2: str, exact: bool = True) -> str:
+    names = ", ".join(f"'{n}'" for n in _FEATURES)
+    shown = f"{r4('w[i]', 3)} AS coefficient, {r4('r[i]', 4)} AS gradient" if exact else f"abs(r[i]) >= {l1 - 1e-5!r} AS binding"
+    return f"""{_linear_sql(l1, l2, exact)}
+SELECT [{names}][i] AS feature, {shown},
+       CASE WHEN w[i] <> 0 THEN abs(r[i] - l2 * w[i] - {l1!r} * sign(w[i])) ELSE greatest(abs(r[i]) - {l1!r}, 0) END <= 1e-5 AS holds
+FROM sol, lam, range(1, {len(_FEATURES) + 1}) AS t(i)"""
+
+
+def _optimality(spark: SparkSession, d: str, family: str) -> DataFrame:
+    from valora.operators.models import label_stats, make_model, optimality, penalty
+    prep, trt, _, _ = _model_tables(spark, d)
+    ls = label_stats(trt)
+    return optimality(make_model(family, ls).fit(trt), trt, prep.feature_names, *penalty(family, ls.n))
+
+
+def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    out = df.withColumns({k: F.round(k, n) for k, n in digits.items()})
+    return out.withColumns({k: F.when(F.col(k) == 0, 0.0).otherwise(F.col(k)) for k in digits})
+
+
+@register("model_optimality_ridge", _optimality_sql(0.0, "1.0 / n"))
+def q_ridge(spark, d):
+    """H1: coefficients, gradient and optimality condition of the preset."""
+    return _rounded(_optimality(spark, d, "Ridge"), {"coefficient": 3, "gradient": 4})
+
+
+@register("model_optimality_lasso", _optimality_sql(0.001, "0.0", exact=False))
+def q_lasso(spark, d):
+    """H2: its coefficients are not unique where features are collinear, as some
+    here are; which features' gradients are at the bound is."""
+    return _optimality(spark, d, "Lasso").select("feature", (F.abs("gradient") >= 0.001 - 1e-5).alias("binding"), "holds")
+
+
+@register("model_optimality_elasticnet", _optimality_sql(0.0005, "0.0005"))
+def q_elasticnet(spark, d):
+    """H3."""
+    return _rounded(_optimality(spark, d, "ElasticNet"), {"coefficient": 3, "gradient": 4})
+
+
 @register("model_leaderboard")
 def q_board(spark, d):
     """All eight candidates at their presets."""
@@ -782,7 +836,26 @@ def q_tune(spark, d):
                                  "family string, best_cv_rmse_log double, params string")
 
 
-@register("model_holdout_metrics")
+# The ElasticNet that SQL has fitted itself, and the hold-out rows scored by it.
+_NAMES = "[" + ", ".join(f"'{n}'" for n in _FEATURES) + "]"
+_BY_SQL = f"""{_linear_sql(0.0005, "0.0005")},
+xm AS (SELECT j, avg(v) AS m FROM cells GROUP BY j),
+wl AS (SELECT unnest(w) AS w, generate_subscripts(w, 1) AS j FROM sol),
+wx AS (SELECT wl.j, {_NAMES}[wl.j] AS feature, wl.w, xm.m FROM wl JOIN xm ON wl.j = xm.j),
+ete AS ({_encode_sql(rounded=False)}),
+tl AS (SELECT o_orderkey, unnest([{', '.join(q(n) for n in _FEATURES)}]) AS v, unnest(range(1, {len(_FEATURES) + 1})) AS j FROM ete),
+pr AS (SELECT tl.o_orderkey, (SELECT m FROM xm WHERE j = {len(_FEATURES) + 1}) + sum(wx.w * (tl.v - wx.m)) AS p
+       FROM tl JOIN wx ON tl.j = wx.j GROUP BY tl.o_orderkey)"""
+
+
+@register("model_holdout_metrics", f"""{_BY_SQL},
+e AS (SELECT sp.o_totalprice AS y, exp(p) - 1 AS yp, ln(1 + sp.o_totalprice) AS ly, p AS lp
+      FROM pr JOIN sp ON pr.o_orderkey = sp.o_orderkey)
+SELECT {r4('sqrt(avg((y - yp) * (y - yp)))', 2)} AS rmse, {r4('avg(abs(y - yp))', 2)} AS mae,
+       {r4('1 - sum((y - yp) * (y - yp)) / (count(*) * var_pop(y))', 4)} AS r2,
+       {r4('100 * avg(abs(y - yp) / greatest(abs(y), 1))', 3)} AS mape_pct,
+       {r4('sqrt(avg((ly - lp) * (ly - lp)))', 5)} AS rmse_log,
+       {r4('1 - sum((ly - lp) * (ly - lp)) / (count(*) * var_pop(ly))', 4)} AS r2_log FROM e""")
 def q_model_metrics(spark, d):
     _, _, tet, _, model = _linear_fit(spark, d)
     return merged_metrics(model.transform(tet), "y", "prediction")
@@ -795,12 +868,15 @@ def q_predict(spark, d):
     return predict(raw_pipeline(prep, model), test, ID)
 
 
-@register("explain_global_importance")
+@register("explain_global_importance", f"""{_BY_SQL},
+g AS (SELECT wx.feature, avg(abs(wx.w * (cells.v - wx.m))) AS v FROM cells JOIN wx ON cells.j = wx.j
+      GROUP BY wx.feature ORDER BY v DESC, wx.feature LIMIT 30)
+SELECT feature, {r4('v', 3)} AS mean_abs_value FROM g""")
 def q_importance(spark, d):
     from valora.operators.explain import attributions, feature_means, global_importance
     prep, trt, _, _, model = _linear_fit(spark, d)
     imp, _ = global_importance(attributions(model, trt, feature_means(trt)), prep.feature_names, 30)
-    return imp
+    return round_doubles(imp, 3)
 
 
 @register("explain_local_top15")
