@@ -193,3 +193,40 @@ def test_suffix_tree_classes(monkeypatch, most):
         for c, k, g in zip(which.tolist(), place.tolist(), group.tolist(), strict=True):
             got[g].add((c, k))
         assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in equal.values() if len(v) > 1}
+
+
+def test_repeated_words_in_bounded_memory(spark):
+    """A million equal words, alone, beside others and in a later document."""
+    import resource
+
+    many, own = 1_000_000, " ".join(f"w{i}" for i in range(200))
+    rows = [(1, f"{own} " + "la " * many), (2, "la " * 300_000 + own), (3, "lo " * many), (4, f"x {'la ' * 49} y {'lo ' * 50}")]
+    rows.append((5, " ".join(["ab", "cd", "ef"] * 100_000)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    out = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in suffix_tree.deduplicate(docs).collect()}
+    assert out == {1: (many + 200, 0), 2: (300_200, 300_200), 3: (many, 0), 4: (101, 50), 5: (300_000, 0)}
+    peak = spark.range(0, 64, 1, 16).mapInArrow(
+        lambda it: (__import__("pyarrow").RecordBatch.from_arrays([__import__("pyarrow").array(
+            [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss])], names=["kb"]) for _ in it), "kb long").agg({"kb": "max"}).first()[0]
+    assert peak < 1_000_000
+
+
+@pytest.mark.parametrize("batch", [1, 2, 7, 10_000])
+def test_copies_within_a_document_and_across_batches(spark, batch):
+    """Repeats inside documents, whose first place another document may have,
+    with null ids as one document of many rows."""
+    rnd = random.Random(batch)
+    pool = [" ".join(f"{c}{i % 7}" for i in range(120)) for c in "abc"] + ["p q " * 60, "z " * 130]
+    rows = []
+    for i in range(24):
+        text = " ".join(x for _ in range(rnd.randrange(1, 5)) for x in (rnd.choice(pool), f"#{rnd.randrange(3)}"))
+        rows.append((None if i % 5 == 0 else rnd.randrange(8), text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    big = repeats.NULL_ID
+    want = brute_words([((big if i is None else i, t), t) for i, t in rows])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in suffix_tree.deduplicate(docs).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got, key=repr) == sorted(((i, *want[(big if i is None else i, t)][:2]) for i, t in rows), key=repr)

@@ -11,6 +11,10 @@ earlier somewhere else, over a corpus whose windows are far too many to sort.
    constant state.  Of equal contexts all but the first are repeats as a
    whole; those within one batch are settled before the shuffle, so a text
    with very many copies is no hot group.  A gram with one context is done.
+   Where only other ids count as earlier, an equal context of the first one's
+   id is a *copy*: it is not looked at again but gets what the first one gets.
+   Copies in one batch and at places next to each other are one row, dealt by
+   place, so a text of one repeated word is no hot group either.
 3. *Different contexts of one gram* are where copies begin, end or differ.
    Their symbols are fetched from the texts and given, in blocks of bounded
    size, to the operator's own index (a suffix array, a suffix tree), which
@@ -42,8 +46,10 @@ CHUNK = 4096
 NULL_ID = (1 << 63) - 1
 
 _ROW = "key long, context long, id long, mark long, at int, n int"
-_OPEN = "id long, mark long, at int, n int, key long, chunk int"
-_SPAN = "id long, mark long, lo int, hi int"
+_OPEN = "id long, mark long, at int, n int, key long, chunk int, of_mark long, of int"
+_SPAN = "id long, mark long, lo int, hi int, of int"
+COPIES = 1 << 30      # n of a row of copies is below minus this, by their number
+BATCH_COPY, COPY = -2, -1   # `chunk` of copies found within a batch, and of others
 
 
 @dataclass(frozen=True)
@@ -108,11 +114,12 @@ def _order(*keys: np.ndarray) -> np.ndarray:
     return np.lexsort(keys[::-1])
 
 
-def _repeated(key, context, id_, mark, at, by_id: bool) -> tuple[np.ndarray, np.ndarray]:
+def _repeated(key, context, id_, mark, at, by_id: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows that an equal context elsewhere precedes, whatever order the rows
-    are in, and rows that are the first of their context once more: those of a
-    repeated document, which nothing precedes."""
-    out, twice = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    are in; rows that are the first of their context once more: those of a
+    repeated document, which nothing precedes, or with ``by_id`` copies in the
+    same document; and the first row of each row's context."""
+    out, twice, first_of = np.zeros(len(key), bool), np.zeros(len(key), bool), np.arange(len(key))
     both = tx.mix(key.view(np.uint64) * np.uint64(31) ^ context.view(np.uint64))
     order = np.argsort(both, kind="stable")
     same = both[order][1:] == both[order][:-1]
@@ -124,12 +131,28 @@ def _repeated(key, context, id_, mark, at, by_id: bool) -> tuple[np.ndarray, np.
         own = own[_order(key[own], context[own], id_[own], mark[own], at[own])]
         equal = (key[own][1:] == key[own][:-1]) & (context[own][1:] == context[own][:-1])
         first = np.maximum.accumulate(np.where(np.append(False, equal), 0, np.arange(len(own))))
+        first_of[own] = own[first]
         if by_id:
             out[own] = id_[own] != id_[own[first]]
+            twice[own] = ~out[own] & (mark[own] == mark[own[first]]) & (first != np.arange(len(own)))
         else:
             out[own] = _elsewhere(id_[own], mark[own], at[own], first)
             twice[own] = ~out[own] & (first != np.arange(len(own)))
-    return out, twice
+    return out, twice, first_of
+
+
+def _copies(id_, mark, at, of) -> tuple[np.ndarray, ...]:
+    """Copies of the context at ``of`` of the same document, those next to each
+    other as one row: the place of the first, and their number in ``n``."""
+    o = _order(id_, mark, of, at)
+    id_, mark, at, of = id_[o], mark[o], at[o], of[o]
+    new = np.ones(len(o), bool)
+    if len(o):
+        new[1:] = (id_[1:] != id_[:-1]) | (mark[1:] != mark[:-1]) | (of[1:] != of[:-1]) | (at[1:] > at[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(o)) - 1 if len(first) else first
+    spread = tx.mix(id_[first].view(np.uint64) * np.uint64(31) + at[first].astype(np.uint64)).view(np.int64)
+    return spread, of[first], id_[first], mark[first], at[first], -COPIES - 1 - (at[last] - at[first])
 
 
 def _elsewhere(id_, mark, at, first) -> np.ndarray:
@@ -162,7 +185,8 @@ _INTS = [pa.int64()] * 4 + [pa.int32()] * 2
 
 
 def _anchor_rows(docs: DataFrame, method: Method) -> DataFrame:
-    """Rows of step 1.  A negative ``n`` marks a context that is known to repeat."""
+    """Rows of step 1.  A negative ``n`` marks a context that is known to repeat,
+    or, below ``-COPIES``, copies of the context at place ``context``."""
     names = ["key", "context", "id", "mark", "at", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +199,12 @@ def _anchor_rows(docs: DataFrame, method: Method) -> DataFrame:
                 parts.append((key, context, ids[r + row], marks[r + row], at + place, n))
             if parts:
                 key, context, i, m, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-                again, twice = _repeated(key, context, i, m, at, method.by_id)
+                again, twice, first = _repeated(key, context, i, m, at, method.by_id)
                 known = _merged(i[again], m[again], at[again], n[again], method.length)
+                more = _copies(i[twice], m[twice], at[twice], at[first[twice]]) if method.by_id else [a[:0] for a in known]
                 rest = ~(again | twice)
                 key, context, i, m, at, n = (
-                    np.concatenate([a[rest], b]) for a, b in zip((key, context, i, m, at, n), known, strict=True))
+                    np.concatenate([a[rest], b, c]) for a, b, c in zip((key, context, i, m, at, n), known, more, strict=True))
                 for s in range(0, len(key), 1 << 17):
                     e = slice(s, s + (1 << 17))
                     yield _batch([key[e], context[e], i[e], m[e], at[e].astype(np.int32), n[e].astype(np.int32)], names, _INTS)
@@ -188,10 +213,12 @@ def _anchor_rows(docs: DataFrame, method: Method) -> DataFrame:
 
 
 def _settle(rows: DataFrame, method: Method) -> DataFrame:
-    """Step 2: spans of repeated contexts (``key`` null; ``at`` to ``n``), and
-    the contexts that are left open, numbered in chunks per gram."""
+    """Step 2: spans of repeated contexts (``key`` null; ``at`` to ``n``), the
+    contexts that are left open, numbered in chunks per gram, and copies (a
+    negative ``chunk``; ``n`` of them from ``at`` on) of the context at ``of``."""
     dealt = rows.repartition("key").sortWithinPartitions("key", "context", "id", "mark", "at")
-    names = ["id", "mark", "at", "n", "key", "chunk"]
+    names = ["id", "mark", "at", "n", "key", "chunk", "of_mark", "of"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the first row of the last gram and of its last context, if they were
@@ -202,7 +229,11 @@ def _settle(rows: DataFrame, method: Method) -> DataFrame:
         for b in batches:
             new = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]
             known = new[5] < 0
-            done = [c[known] for c in new]
+            more = new[5] < -COPIES
+            if more.any():
+                key, of, id_, mark, at, n = (c[more] for c in new)
+                yield _batch([id_, mark, at, -n - COPIES, key, np.full(len(n), BATCH_COPY), mark, of], names, kinds)
+            done = [c[known & ~more] for c in new]
             cols = [np.concatenate([h, c[~known]]) for h, c in zip(held, new, strict=True)]
             key, context, id_, mark, at, n = cols
             size, ghosts = len(key), len(given)
@@ -221,18 +252,23 @@ def _settle(rows: DataFrame, method: Method) -> DataFrame:
                 contexts_of_key = np.maximum.reduceat(ordinal, np.flatnonzero(new_key))[np.cumsum(new_key) - 1]
                 if method.by_id:
                     repeat = id_ != id_[run_first]
-                    inner = ~repeat & ~new_context   # of the same id: as open as the first
+                    inner = ~repeat & ~new_context   # of the same id
                 else:
                     repeat = _elsewhere(id_, mark, at, run_first)
                     inner = np.zeros(size, bool)
                 sent = np.zeros(size, bool)
                 sent[:ghosts] = given
-                open_ = (new_context & (contexts_of_key > 0) & ~sent) | inner
+                open_ = new_context & (contexts_of_key > 0) & ~sent
                 repeat[:ghosts] = False
+                inner[:ghosts] = False
+                if inner.any():
+                    f = run_first[inner]
+                    yield _batch([id_[inner], mark[inner], at[inner], np.ones(len(f), np.int64), key[inner],
+                                  np.full(len(f), COPY), mark[f], at[f]], names, kinds)
                 done = [np.concatenate([d, c[repeat]]) for d, c in zip(done, cols, strict=True)]
                 if open_.any():
-                    yield _batch([id_[open_], mark[open_], at[open_], n[open_], key[open_], ordinal[open_] // CHUNK], names,
-                                 [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()])
+                    yield _batch([id_[open_], mark[open_], at[open_], n[open_], key[open_], ordinal[open_] // CHUNK,
+                                  mark[open_], at[open_]], names, kinds)
                 keep = [int(key_first[-1])]
                 if int(run_first[-1]) != keep[0]:
                     keep.append(int(run_first[-1]))
@@ -244,7 +280,7 @@ def _settle(rows: DataFrame, method: Method) -> DataFrame:
                 none = np.zeros(len(lo), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(done[2]), pa.array(done[3]), pa.array(lo, pa.int32()), pa.array(lo + width, pa.int32()),
-                     pa.nulls(len(lo), pa.int64()), pa.array(none, pa.int32())], names=names)
+                     pa.nulls(len(lo), pa.int64()), pa.array(none, pa.int32()), pa.array(done[3]), pa.array(lo, pa.int32())], names=names)
 
     return dealt.mapInArrow(run, _OPEN)
 
@@ -308,8 +344,8 @@ def _resolve(fetched: DataFrame, method: Method) -> DataFrame:
         e = np.append(s[1:], len(w)) - 1 if len(s) else s
         out = [id_[w[s]], mark[w[s]], at[w[s]] + p[s], at[w[s]] + p[e] + method.length]
         spans = pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
-                          pa.array(out[3], pa.int32()), pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.int64())],
-                         names=names)
+                          pa.array(out[3], pa.int32()), pa.array(at[w[s]], pa.int32()), pa.nulls(len(s), pa.int64()),
+                          pa.nulls(len(s), pa.int64())], names=names)
         # grams that go on in other blocks
         full = dict(zip(*np.unique(key[chunk == 0], return_counts=True), strict=True))
         more = (chunk > 0) | np.array([full.get(k, 0) >= CHUNK for k in key.tolist()], bool)
@@ -322,13 +358,13 @@ def _resolve(fetched: DataFrame, method: Method) -> DataFrame:
             h = tx.prefix_hash(np.frombuffer(symbols[c], np.uint8))
             starts = np.arange(n[c]) * width
             value = tx.span_hash(h, starts, starts + method.length * width).view(np.int64).tolist()
-            reps += [(id_[c], mark[c], at[c] + k, at[c] + k + method.length, key[c], value[k])
+            reps += [(id_[c], mark[c], at[c] + k, at[c] + k + method.length, at[c], key[c], value[k])
                      for k in range(n[c]) if (c, k) not in dropped]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         extra = pa.table([pa.array(v, k) for v, k in zip(zip(*reps, strict=True), kinds, strict=True)], names=names)
         return pa.concat_tables([spans, extra])
 
-    names = ["id", "mark", "lo", "hi", "key", "window"]
+    names = ["id", "mark", "lo", "hi", "of", "key", "window"]
     return fetched.groupBy("block").applyInArrow(run, f"{_SPAN}, key long, window long")
 
 
@@ -351,20 +387,32 @@ def spans(docs: DataFrame, method: Method) -> DataFrame:
     ``docs`` comes from ``prepare``."""
     state = cut_lineage(_settle(_anchor_rows(docs, method), method))
     _let_go(docs.sparkSession)
-    opened = state.where("key IS NOT NULL")
-    n, most = opened.agg(F.count(F.lit(1)), F.max("chunk")).first()
-    out = state.where("key IS NULL").select("id", "mark", F.col("at").alias("lo"), F.col("n").alias("hi"))
-    if not n:
-        return out
-    found = cut_lineage(_resolve(_fetch(docs, opened, n // method.per_block + 1, method), method))
-    _let_go(docs.sparkSession)
-    if most:
-        reps = found.where("key IS NOT NULL")
-        place = F.struct("id") if method.by_id else F.struct("id", "mark", "lo")
-        least = reps.groupBy("key", "window").agg(F.min(place).alias("least"))
-        late = reps.join(least, ["key", "window"]).where(F.col("least") < place).select("id", "mark", "lo", "hi")
-        out = out.union(late)
-    return out.union(found.where("key IS NULL").select("id", "mark", "lo", "hi"))
+    opened = state.where("key IS NOT NULL AND chunk >= 0")
+    n, most, copies, twice = state.agg(
+        F.count_if(F.expr("key IS NOT NULL AND chunk >= 0")), F.max("chunk"), F.count_if(F.col("chunk") == BATCH_COPY),
+        F.count_if(F.col("chunk") == COPY)).first()
+    out = state.where("key IS NULL").select("id", "mark", F.col("at").alias("lo"), F.col("n").alias("hi"), "of")
+    if n:
+        found = cut_lineage(_resolve(_fetch(docs, opened, n // method.per_block + 1, method), method))
+        _let_go(docs.sparkSession)
+        if most:
+            reps = found.where("key IS NOT NULL")
+            place = F.struct("id") if method.by_id else F.struct("id", "mark", "lo")
+            least = reps.groupBy("key", "window").agg(F.min(place).alias("least"))
+            late = reps.join(least, ["key", "window"]).where(F.col("least") < place).select("id", "mark", "lo", "hi", "of")
+            out = out.union(late)
+        out = out.union(found.where("key IS NULL").select("id", "mark", "lo", "hi", "of"))
+    # what is found for a context holds for its copies; those of a batch may be copies of copies
+    for number, chunk in ((twice, COPY), (copies, BATCH_COPY)):
+        if number:
+            own = state.where(F.col("chunk") == chunk).select(
+                "id", F.col("of_mark").alias("mark"), "of", F.col("mark").alias("to_mark"), "at", (F.col("n") - 1).alias("further"))
+            shift = F.col("at") - F.col("of")
+            got = own.join(out, ["id", "mark", "of"]).select(
+                "id", F.col("to_mark").alias("mark"), (F.col("lo") + shift).alias("lo"),
+                (F.col("hi") + shift + F.col("further")).alias("hi"), F.col("at").alias("of"))
+            out = out.union(got)
+    return out.select("id", "mark", "lo", "hi")
 
 
 def apply(docs: DataFrame, found: DataFrame, extra: list[str] | None = None) -> DataFrame:
