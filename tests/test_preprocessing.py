@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from valora.operators.clean import (absent_coded_columns, fill_missing_values, remove_outliers,
-                                    cleaning_summary)
+                                    clean_and_count)
 from valora.operators.encode import Preprocessor, PreprocessorModel
 from valora.spec import HOUSE_SPEC as H
 
@@ -33,7 +33,7 @@ def test_known_errors_dropped_only_with_target(spark, house):
     n_bad = bad.where("GrLivArea > 4000 AND SalePrice < 300000").count()
     assert n_bad >= 3
     assert cleaned.count() == 300 - n_bad
-    s = cleaning_summary(bad, cleaned).first()
+    s = clean_and_count(bad, lambda df: remove_outliers(df, H, fit_on=bad))[1].first()
     assert (s["rows_before"], s["rows_after"]) == (300, 300 - n_bad)
     assert remove_outliers(bad.drop("SalePrice"), H).count() == 300
 

@@ -120,8 +120,9 @@ def test_registry_round_trip(spark, fitted, scratch, house_signal):
     lazy = LazyScorer(f"{root}/best")
     assert not lazy.is_loaded()
     assert lazy.predict(house_signal.limit(3), "Id").count() == 3 and lazy.is_loaded()
-    ov = registry.model_overview(spark, art["metadata"]).collect()
-    assert ov[2]["Value"] == "$1.00" and ov[3]["Value"] == "N/A"
+    registry.log_run(spark, root, "other", metrics={"mae": 12345.678, "best_cv_rmse_log": 0.25})
+    ov = {r["model"]: tuple(r)[1:] for r in registry.model_overview(spark, root).collect()}
+    assert ov["other"] == ("0.25000", "N/A", "$12,345.68", "N/A")
 
 
 def test_csv_source_markers_and_scoring(spark, fitted, scratch, house_signal):

@@ -8,14 +8,15 @@ statistics are joined back instead of a window over possibly skewed groups.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from valora.functions.exprs import c, clip, floats_to_null, nan_to_null, numeric_columns, string_columns
 from valora.operators.quantiles import group_medians, modes, quantile_dict
+from valora.session import cut_lineage
 from valora.spec import SETTINGS, ColumnSpec, Settings
 
 
@@ -151,12 +152,19 @@ def remove_outliers(df: DataFrame, spec: ColumnSpec, settings: Settings = SETTIN
     return apply_outlier_bounds(out, fit_outlier_bounds(base, spec, settings), keep_flags)
 
 
-def cleaning_summary(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows before, after and percent kept as a one-row table."""
-    nb, na = before.count(), after.count()
-    return after.sparkSession.range(1).select(
-        F.lit(nb).cast("long").alias("rows_before"), F.lit(na).cast("long").alias("rows_after"),
-        F.round(F.lit(na) * 100.0 / F.lit(max(nb, 1)), 1).alias("pct_kept"))
+def clean_and_count(df: DataFrame, clean: Callable[[DataFrame], DataFrame],
+                    store: Callable[[DataFrame], DataFrame] = cut_lineage) -> tuple[DataFrame, DataFrame]:
+    """The cleaned table, stored once by ``store``, and a one-row table of
+    rows before, after and percent kept.  Both counts are by-products of the
+    pass that stores the rows; where ``clean`` makes passes of its own first,
+    hand it a frame to fit on (``fit_on``)."""
+    seen, kept = Observation(), Observation()
+    one = F.count(F.lit(1)).alias("n")
+    out = store(clean(df.observe(seen, one)).observe(kept, one))
+    before, after = seen.get["n"], kept.get["n"]
+    return out, out.sparkSession.range(1).select(
+        F.lit(before).cast("long").alias("rows_before"), F.lit(after).cast("long").alias("rows_after"),
+        F.round(F.lit(after) * 100.0 / F.lit(max(before, 1)), 1).alias("pct_kept"))
 
 
 # ----------------------------------------------------------------- imputation

@@ -16,13 +16,15 @@ training statistics.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.util import (DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable,
+                             MLWriter)
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
@@ -32,6 +34,7 @@ from valora.functions.features import engineer_features
 from valora.operators.clean import (add_missing_columns, attach_group_value, drop_columns, fill_absent,
                                     fill_missing_values, keep_existing)
 from valora.operators.quantiles import group_medians, modes_from_counts, quantile_dict, value_counts
+from valora.session import ensure_checkpoint_dir
 from valora.spec import SETTINGS, ColumnSpec, FeatureDef, KnownError, Settings
 
 _LITERAL_MAP_MAX = 5_000
@@ -102,7 +105,7 @@ class Preprocessor(Estimator):
         ordinal = keep_existing(x, list(spec.ordinal))
         nominal = keep_existing(x, spec.nominal)
         if not (numeric or ordinal or nominal):
-            raise ValueError("No feature columns found for transformation.")
+            raise ValueError("none of the spec's feature columns is in the input")
 
         # Job 1: means and population deviations.
         row = x.agg(F.count(F.lit(1)).alias("__rows"),
@@ -113,12 +116,18 @@ class Preprocessor(Estimator):
 
         # Job 2: medians (and group medians of the group-imputed column).
         med = {k: v[0] for k, v in quantile_dict(x, numeric, [0.5], st, row_bound=n_rows).items()}
-        gmap, gfall = {}, None
+        gmap, gfall, gtable = {}, None, None
         gi = spec.group_impute
         if gi and gi[0] in x.columns and gi[1] in x.columns:
-            gm = group_medians(x, gi[0], [gi[1]], st, row_bound=n_rows)
-            # one number per group is part of the model's state
-            gmap = {str(r[gi[1]]): r["median"] for r in gm.collect() if r[gi[1]] is not None}
+            gm = group_medians(x, gi[0], [gi[1]], st, row_bound=n_rows).where(c(gi[1]).isNotNull())
+            gm = gm.select(c(gi[1]).cast("string").alias(_GROUP), F.col("median").alias(f"{_GROUP}_value"))
+            # few groups are literals of the projection; more stay a table beside the model
+            few = gm.limit(_LITERAL_MAP_MAX + 1).collect()
+            if len(few) <= _LITERAL_MAP_MAX:
+                gmap = {r[0]: r[1] for r in few}
+            else:
+                gtable = f"{ensure_checkpoint_dir(base.sparkSession)}/groups-{uuid.uuid4().hex}"
+                gm.write.parquet(gtable)
             gfall = (med.get(gi[0]) if gi[0] in med else
                      quantile_dict(x, [gi[0]], [0.5], st, row_bound=n_rows)[gi[0]][0])
 
@@ -158,6 +167,7 @@ class Preprocessor(Estimator):
             "object_center": obj_mode,
             "group_map": gmap,
             "group_fallback": gfall,
+            "group_table": gtable,
             "categories": cats,
             "mean": {k: v[0] for k, v in mom.items()},
             "std": {k: v[1] for k, v in mom.items()},
@@ -168,9 +178,10 @@ class Preprocessor(Estimator):
         return PreprocessorModel(stats)
 
 
-class PreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+class PreprocessorModel(Model, MLReadable, MLWritable):
     """Fitted transform; state is one JSON parameter so it persists with
-    ``PipelineModel`` and loads without the training data."""
+    ``PipelineModel`` and loads without the training data.  Medians of more than
+    ``_LITERAL_MAP_MAX`` groups are a table, which is saved beside it."""
 
     statsJson = Param(Params._dummy(), "statsJson", "fitted statistics as JSON",
                       typeConverter=TypeConverters.toString)
@@ -203,10 +214,17 @@ class PreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
     def feature_names(self) -> list[str]:
         return list(self.stats["feature_names"])
 
+    def write(self) -> MLWriter:
+        return _ModelWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ModelReader(cls)
+
     def _prepare(self, df: DataFrame) -> DataFrame:
         """Imputed, derived, complete input columns (before encoding)."""
         if not self.fitted:
-            raise RuntimeError("Preprocessor must be fitted before transform().")
+            raise RuntimeError("this transform has no fitted state")
         s, spec = self.stats, self.spec
         kept = [n for n in df.columns if n.startswith(_KEPT)]  # copies to hand back as they came
         x = drop_columns(df, [d for d in spec.drop_cols])
@@ -222,10 +240,10 @@ class PreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         if gi and gi[0] in x.columns and s["group_map"] is not None and s["group_fallback"] is not None:
             key = c(gi[1]).cast("string") if gi[1] in x.columns else F.lit(None).cast("string")
             gmap = s["group_map"]
-            if len(gmap) <= _LITERAL_MAP_MAX:
+            if not s.get("group_table"):
                 gv = _lookup(gmap, key)
             else:  # too many for a literal map: a join with the table of groups
-                table = x.sparkSession.createDataFrame(list(gmap.items()), f"{_GROUP} string, {_GROUP}_value double")
+                table = x.sparkSession.read.parquet(s["group_table"])
                 x = attach_group_value(x.withColumn(_GROUP, key), table, _GROUP, f"{_GROUP}_value")
                 gv = F.col(f"{_GROUP}_value")
             fill[gi[0]] = F.coalesce(c(gi[0]).cast("double"), gv, F.lit(float(s["group_fallback"])))
@@ -284,3 +302,30 @@ class PreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         feats = self.feature_exprs(x)
         vec = array_to_vector(F.array(*feats)).alias(self.getOrDefault(self.outputCol))
         return x.select(*[F.col(f"`{_KEPT}{i}`").alias(n) for i, n in enumerate(df.columns)], vec)
+
+
+class _ModelWriter(MLWriter):
+    def __init__(self, model: PreprocessorModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        spark = SparkSession.getActiveSession()
+        DefaultParamsWriter.saveMetadata(self.model, path, spark)
+        if self.model.stats.get("group_table"):
+            spark.read.parquet(self.model.stats["group_table"]).write.parquet(f"{path}/groups")
+
+
+class _ModelReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str) -> PreprocessorModel:
+        meta = DefaultParamsReader.loadMetadata(path, SparkSession.getActiveSession())
+        model = self.cls()
+        model._resetUid(meta["uid"])
+        DefaultParamsReader.getAndSetParams(model, meta)
+        if model.stats.get("group_table"):
+            model._set(statsJson=json.dumps(model.stats | {"group_table": f"{path}/groups"}))
+        return model

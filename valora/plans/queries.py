@@ -29,7 +29,7 @@ from valora.sources.files import load_processed, load_raw, save_splits, save_tab
 from valora.sources.records import apply_scoring_schema, union_records
 from valora.sources.registry import save_artifacts
 from valora.sources.tables import SALES_SQL, read_table, sales_table
-from valora.spec import SALES_SPEC, SETTINGS, FeatureDef
+from valora.spec import SALES_SPEC, SETTINGS, ColumnSpec, FeatureDef
 
 SPEC = SALES_SPEC
 ID, TARGET = SPEC.id_col, SPEC.target_col
@@ -228,8 +228,8 @@ SELECT count(*) AS rows_before, count_if({_KE_SQL}) AS rows_after,
        round(count_if({_KE_SQL}) * 100.0 / count(*), 1) AS pct_kept FROM sales
 """)
 def q_summary(spark, d):
-    s = _sales(spark, d)
-    return clean.cleaning_summary(s, clean.drop_known_errors(s, SPEC))
+    """Both counts come out of the pass that stores the cleaned rows."""
+    return clean.clean_and_count(_sales(spark, d), lambda df: clean.drop_known_errors(df, SPEC))[1]
 
 
 @register("clean_absent_coded", f"""
@@ -1008,6 +1008,85 @@ def q_saved(spark, d):
     return round_doubles(LazyScorer(save_artifacts(pipe, {}, _folder(spark, "model"))).predict(rows, ID), 2)
 
 
+# A table with many groups: one group per customer and priority.
+_GROUP_SPEC = ColumnSpec(name="groups", id_col="o_orderkey", target_col="none", numeric=("price", "n"),
+                         none_fill_numeric=(), group_impute=("price", "grp"))
+_GROUPED_SQL = """
+g0 AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_totalprice AS DOUBLE) END AS price,
+              o_custkey || '-' || o_orderpriority AS grp, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 13 END AS n FROM orders),
+g1 AS (SELECT grp, median(price) AS m FROM g0 GROUP BY grp),
+g2 AS (SELECT g0.grp, coalesce(g0.price, g1.m, (SELECT median(price) FROM g0)) AS price,
+              coalesce(n, (SELECT median(n) FROM g0)) AS n FROM g0 JOIN g1 ON g0.grp = g1.grp),
+g3 AS (SELECT grp, median(price) AS m FROM g2 GROUP BY grp)"""
+
+
+@register("fit_many_groups", f"""
+WITH {_GROUPED_SQL}
+SELECT o_orderkey, {r4('coalesce(g0.price, g3.m)')} AS price, {r4('coalesce(n, (SELECT median(n) FROM g2))')} AS n
+FROM g0 JOIN g3 ON g0.grp = g3.grp""")
+def q_many_groups(spark, d):
+    """Medians of about as many groups as customers are a
+    table beside the model; fitted, saved, loaded and applied unscaled."""
+    from valora.operators import encode
+    rows = read_table(spark, d, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice").cast("double")).alias("price"),
+        F.concat_ws("-", F.col("o_custkey").cast("string"), "o_orderpriority").alias("grp"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey") % 13).cast("double").alias("n"))
+    path = _folder(spark, "groups-model")
+    Preprocessor(_GROUP_SPEC, scale=False).fit(rows).write().overwrite().save(path)
+    return round_doubles(encode.PreprocessorModel.load(path).transform_columns(rows, keep=[ID]).select(ID, "price", "n"))
+
+
+@register("registry_overview", f"""
+WITH {SALES_SQL}, m AS (SELECT avg(o_totalprice) AS a, avg(o_totalprice) / 2 AS b FROM sales),
+e AS (SELECT 'constant mean' AS model, o_totalprice AS y, a AS p FROM sales, m UNION ALL
+      SELECT 'half the mean', o_totalprice, b FROM sales, m)
+SELECT model, 'N/A' AS cv_rmse_log, format('${{:,.2f}}', round(sqrt(avg((y - p) * (y - p))), 2)) AS holdout_rmse,
+       format('${{:,.2f}}', round(avg(abs(y - p)), 2)) AS holdout_mae,
+       CASE model WHEN 'constant mean' THEN 'N/A' ELSE format('{{:,.4f}}', round(1 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)), 4))
+       END AS holdout_r2, CASE model WHEN 'constant mean' THEN 2 ELSE 1 END AS n_runs FROM e GROUP BY model""")
+def q_overview(spark, d):
+    """Runs logged, the latest of each model shown, N/A where absent."""
+    from valora.operators.metrics import regression_metrics
+    from valora.sources.registry import log_run, model_overview, runs
+    sales, root = _sales_once(spark, d), _folder(spark, "registry")
+    mean = sales.agg(F.avg(TARGET)).first()[0]
+    log_run(spark, root, "constant mean", {"value": 0.0}, {"rmse": 1.0, "r2": 0.5})
+    for name, value, hidden in (("constant mean", mean, "r2"), ("half the mean", mean / 2, "")):
+        found = regression_metrics(sales.withColumn("p", F.lit(float(value))), TARGET, "p").first().asDict()
+        log_run(spark, root, name, {"value": float(value)}, {k: v for k, v in found.items() if k != hidden}, {"stage": "test"})
+    counts = runs(spark, root).groupBy(F.col("run_name").alias("model")).agg(F.countDistinct("run_id").cast("int").alias("n_runs"))
+    return model_overview(spark, root).join(counts, "model")
+
+
+@register("registry_versions", f"""
+WITH {SALES_SQL}, sp AS (SELECT *, {_TEST_SQL} AS is_test FROM sales)
+SELECT t.*, (SELECT count(*) FROM sp WHERE is_test) AS scored
+FROM (VALUES (1, 'None', 'READY'), (2, 'Production', 'READY')) AS t(version, stage, status)""")
+def q_versions(spark, d):
+    """A model registered twice, listed, and both versions applied."""
+    from valora.sources.registry import list_versions, load_version, register_model
+    root, (pipe, rows) = _folder(spark, "versions"), _fixed_pipeline(spark, d)
+    found = [(register_model(pipe, root, "fixed", None, stage), load_version(root, "fixed").transform(rows).count())
+             for stage in ("None", "Production")]
+    counts = spark.createDataFrame(found, "version int, scored long")
+    return list_versions(spark, root, "fixed").join(counts, "version").select("version", "stage", "status", "scored")
+
+
+@register("stream_quarantine", f"""
+WITH {SALES_SQL}
+SELECT {_SCORING_SEL}, ({_RANGE_SQL}) AS valid FROM sales""")
+def q_stream(spark, d):
+    """A10 and A11 on a stream: valid and quarantined rows of CSV files."""
+    from valora.streaming.quarantine import check_stream
+    sales, root = _sales(spark, d), _folder(spark, "stream")
+    save_table(sales, f"{root}/in", "csv")
+    check_stream(spark, f"{root}/in", f"{root}/valid", f"{root}/bad", f"{root}/state", sales.schema, SPEC).awaitTermination()
+    parts = [spark.read.option("basePath", f"{root}/{k}").parquet(f"{root}/{k}").withColumn("valid", F.lit(k == "valid"))
+             for k in ("valid", "bad")]
+    return round_doubles(parts[0].unionByName(parts[1]).select(*SALES_COLS, "valid"))
+
+
 @register("explain_forest_local_top15")
 def q_forest_local(spark, d):
     """TreeSHAP attributions of the preset forest for every hold-out row."""

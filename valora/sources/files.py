@@ -35,17 +35,19 @@ def _numbered(raw: DataFrame, row_id: str) -> DataFrame:
 
 
 def load_raw(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             markers=NA_MARKERS, infer: bool = True, row_id: str | None = None) -> DataFrame:
+             markers=NA_MARKERS, infer: bool = True, row_id: str | None = None,
+             multiline: bool = False) -> DataFrame:
     """A1: CSV with header; markers -> NULL; typed columns.
 
-    With ``row_id`` a file without that column gets it, 1..n in file order.
+    With ``multiline`` quoted fields may hold line breaks; a file is then read
+    by one task, so large tables should be many files.  With ``row_id`` a file without that column gets it, 1..n in file order.
     Types come from ``schema`` when given; otherwise one aggregate pass
     decides per column whether every non-null value parses as a long, else
     a double, else it stays a string.
     """
     if not _fs_exists(spark, path):
-        raise FileNotFoundError(f"Raw data not found at {path}")
-    raw = spark.read.options(**CSV_OPTIONS).option("inferSchema", False).csv(path)
+        raise FileNotFoundError(f"no CSV input under {path}")
+    raw = spark.read.options(**CSV_OPTIONS).option("inferSchema", False).option("multiLine", multiline).csv(path)
     if row_id is not None and row_id not in raw.columns:
         raw = _numbered(raw, row_id).withColumn(row_id, F.col(row_id).cast("string"))
         if schema is not None and row_id not in schema.names:

@@ -31,7 +31,7 @@ def records_to_frame(spark: SparkSession, data, schema: T.StructType | str | Non
         if schema is not None:
             return spark.createDataFrame(list(data), schema)
         return _records(spark, list(data))
-    raise TypeError(f"Cannot convert {type(data)} to DataFrame")
+    raise TypeError(f"records must be a frame, a dict or a list of dicts, not {type(data).__name__}")
 
 
 def _records(spark: SparkSession, data: list[dict]) -> DataFrame:

@@ -5,6 +5,7 @@ be any shared folder the cluster can reach.  Layout under ``root``::
 
     runs/                       parquet run log (run_id, ts, kind, key, value)
     models/<name>/v=<n>/        PipelineModel of version n
+    models/<name>/_claims/<n>   an empty file: number n is taken
     models/<name>/_versions/    parquet version table
 """
 
@@ -14,8 +15,9 @@ import datetime as dt
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,7 +50,7 @@ def load_artifacts(directory: str) -> dict:
     """Load them; a missing model is an error, metadata optional."""
     spark = SparkSession.getActiveSession()
     if not _fs_exists(spark, f"{directory}/pipeline"):
-        raise FileNotFoundError(f"No trained artifacts found at {directory}.")
+        raise FileNotFoundError(f"{directory} holds no saved pipeline")
     pipeline = PipelineModel.load(f"{directory}/pipeline")
     meta = read_json(spark, f"{directory}/metadata") if _fs_exists(spark, f"{directory}/metadata") else {}
     return {"pipeline": pipeline, "metadata": meta}
@@ -87,12 +89,41 @@ def list_versions(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(path).orderBy("version")
 
 
+def claim_version(spark: SparkSession, root: str, name: str) -> int:
+    """The next free version number, taken by creating a file that must not
+    exist yet: the file system lets one of several writers create it, the others
+    go on to the next number.  A writer that fails leaves a gap."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{root}/models/{name}/_claims")
+    fs = folder.getFileSystem(conf)
+    fs.mkdirs(folder)
+    taken = [int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()]
+    version = max(taken, default=0) + 1
+    while not _created(jvm, fs, jvm.org.apache.hadoop.fs.Path(folder, str(version))):
+        version += 1
+    return version
+
+
+def _created(jvm, fs, path) -> bool:
+    """Whether this call created the file; one of several callers does."""
+    if fs.getScheme() == "file":   # Hadoop's local file system looks first and creates then
+        return jvm.java.io.File(path.toUri().getPath()).createNewFile()
+    try:
+        fs.create(path, False).close()
+        return True
+    except Py4JJavaError:
+        if fs.exists(path):
+            return False
+        raise
+
+
 def register_model(pipeline: PipelineModel, root: str, name: str, run_id: str | None = None,
                    stage: str = "None") -> int:
-    """Store a new version and record it; returns the version number."""
+    """Store a new version and record it; returns the version number.  The
+    number is claimed before anything is written, so concurrent runs never share
+    one; a version is listed once its model is whole."""
     spark = SparkSession.getActiveSession()
-    current = list_versions(spark, root, name).agg(F.max("version")).first()[0]
-    version = int(current or 0) + 1
+    version = claim_version(spark, root, name)
     pipeline.write().overwrite().save(f"{root}/models/{name}/v={version}")
     created = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     spark.createDataFrame([(version, stage, run_id, "READY", created)], _VERSION_SCHEMA) \
@@ -113,18 +144,18 @@ def load_version(root: str, name: str, version: str | int = "latest") -> Pipelin
     return PipelineModel.load(path)
 
 
-def model_overview(spark: SparkSession, metadata: dict) -> DataFrame:
-    """M6: metric rows of a saved model, "N/A" where absent."""
-    hold = metadata.get("holdout", {}) or {}
+def model_overview(spark: SparkSession, root: str) -> DataFrame:
+    """M6: one row per run name, from its latest run: CV error, RMSE, MAE and R2
+    as text, "N/A" where the run has not logged them."""
+    latest = (runs(spark, root).groupBy("run_name")
+              .agg(F.max_by("run_id", F.struct("ts", "run_id")).alias("run_id")).select("run_id"))
+    rows = runs(spark, root).join(latest, "run_id")
 
-    def money(k):
-        return f"${hold[k]:,.2f}" if k in hold and hold[k] is not None else "N/A"
+    def shown(key: str, digits: int, prefix: str = "") -> Column:
+        # of a key that was logged more than once in a run, the largest counts
+        value = F.max(F.when((F.col("kind") == "metric") & (F.col("key") == key), F.expr("try_cast(value AS double)")))
+        return F.coalesce(F.concat(F.lit(prefix), F.format_number(value, digits)), F.lit("N/A"))
 
-    rows = [
-        ("Model Architecture", str(metadata.get("model_name", "Tuned Model"))),
-        ("CV RMSE (log)", str(metadata.get("cv_rmse_log", "N/A"))),
-        ("Holdout RMSE ($)", money("rmse")),
-        ("Holdout MAE ($)", money("mae")),
-        ("Holdout R²", str(hold.get("r2", "N/A"))),
-    ]
-    return spark.createDataFrame(rows, "Metric string, Value string")
+    return rows.groupBy(F.col("run_name").alias("model")).agg(
+        shown("best_cv_rmse_log", 5).alias("cv_rmse_log"), shown("rmse", 2, "$").alias("holdout_rmse"),
+        shown("mae", 2, "$").alias("holdout_mae"), shown("r2", 4).alias("holdout_r2"))
