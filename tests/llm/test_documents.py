@@ -44,13 +44,46 @@ def test_forward_sums_all_segmentations():
                 return 1.0
             return sum(p[ids[at + n, n - 1], lang] * total(at + n, lang) for n in range(1, min(ids.shape[1], len(text) - at) + 1))
 
-        a = language_id.forward(pieces.lattice([word]), p)[0, -1]
+        a = np.exp(language_id.forward(pieces.lattice([word]), p)[0, -1])
         assert np.allclose(a, [total(0, 0), total(0, 1)])
         # expected counts: the mean number of each place's cover is one
         counts = language_id.expected(pieces.lattice([word]), p[:, 0], np.array([1.0]))
         assert counts.sum() > 0 and counts[-1] == 0
 
 
+def test_runs_of_any_length(monkeypatch):
+    """No limit of letters: sums of long runs, in logarithms, by whole numbers of any size."""
+    from fractions import Fraction
+
+    pieces = language_id.pieces_of("piece_bpe_32k.model")
+    rnd = np.random.default_rng(1)
+    p = rnd.random((pieces.size + 2, 2)) * 1e-6
+    p[-1] = 0
+    words = ["".join(rnd.choice(list("abcdeinrstu"), k)) for k in (41, 41, 300)]
+    monkeypatch.setattr(language_id, "PLACES", 32)
+    for group in (words[:2], words[2:]):
+        ids = pieces.lattice(group)
+        got = language_id.log_sums(pieces, group, p)
+        assert np.allclose(got, language_id.forward(ids, p)[:, -1], rtol=1e-12)
+        for k in range(len(group)):
+            sums = [Fraction(1)]
+            for i in range(1, ids.shape[1]):
+                sums.append(sum((sums[i - n] * Fraction(p[ids[k, i, n - 1], 0]) for n in range(1, min(i, ids.shape[2]) + 1)), Fraction(0)))
+            z = sums[-1]
+            assert np.isclose(got[k, 0], np.log(float(z.numerator >> max(0, z.numerator.bit_length() - 900)))
+                              + max(0, z.numerator.bit_length() - 900) * np.log(2)
+                              - np.log(float(z.denominator >> max(0, z.denominator.bit_length() - 900)))
+                              - max(0, z.denominator.bit_length() - 900) * np.log(2), rtol=1e-9)
+        # each letter and the mark are covered once
+        counts = language_id.expected(ids, p[:, 0], np.ones(len(group)))
+        size = np.zeros(len(p))
+        for n in range(ids.shape[2]):
+            np.maximum.at(size, ids[:, :, n].reshape(-1), n + 1)
+        size[-1] = 0
+        size[pieces.unknown] = 1
+        assert np.isclose((counts * size).sum(), sum(len(w) + 1 for w in group))
+
+
 def test_languages_of_odd_rows(odd_docs, no_docs, docs):
     model = language_id.fit_outside(docs)
     out = language_id.predict(odd_docs, model).collect()

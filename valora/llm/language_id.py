@@ -8,9 +8,9 @@ is that language's share under equal priors.
 
 Words are runs of letters (with their marks), lowered, headed by the
 vocabulary's word mark; other characters take no part.  A letter outside the
-vocabulary is a piece of its own with the probability of the unknown piece.  A
-run of more than ``LONGEST`` letters is scored in parts of that length, which
-keeps products within floating point.
+vocabulary is a piece of its own with the probability of the unknown piece.
+Runs may have any length: sums are scaled from place to place, so none falls out
+of floating point, and only as many places are held as a piece is long.
 
 Learning is expectation maximisation: forward and backward sums give expected
 piece counts per language, added up by Spark over the words of the learning
@@ -41,7 +41,9 @@ from valora.llm import text as tx
 from valora.session import cut_lineage
 
 UND = "und"
-LONGEST = 40
+SMALL = 1e-100     # sums below are scaled up
+PLACES = 4096      # of a run, looked up in the vocabulary at a time
+CELLS = 1 << 17    # letters of the words that are scored together
 CACHE_UNITS = 1_000_000
 ROUNDS = 3
 SMOOTH = 0.05
@@ -93,18 +95,22 @@ class Pieces:
         return h
 
     def runs(self, unit: str) -> list[str]:
-        out = []
-        for w in self.letters.findall(unit.lower()):
-            out += [w[i:i + LONGEST] for i in range(0, len(w), LONGEST)]
+        return self.letters.findall(unit.lower())
+
+    def codes(self, words: list[str]) -> np.ndarray:
+        """Code points of words of one length, headed by the mark."""
+        out = np.empty((len(words), len(words[0]) + 1), np.uint64)
+        out[:, 0] = ord(_MARK)
+        out[:, 1:] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1)
         return out
 
     def lattice(self, words: list[str]) -> np.ndarray:
         """``id[w, i, l - 1]``: the piece that ends before place ``i`` and is
         ``l`` long.  Words have one length, without the mark."""
-        n, m = len(words), len(words[0]) + 1
-        codes = np.empty((n, m), np.uint64)
-        codes[:, 0] = ord(_MARK)
-        codes[:, 1:] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(n, m - 1)
+        return self.lookup(self.codes(words))
+
+    def lookup(self, codes: np.ndarray) -> np.ndarray:
+        n, m = codes.shape
         ids = np.full((n, m + 1, min(self.longest, m)), self.absent, np.int32)
         for start in range(m):
             h = np.zeros(n, np.uint64)
@@ -121,47 +127,87 @@ class Pieces:
         return ids
 
 
+def _next(ids: np.ndarray, i: int, before: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+    """Sums up to place ``i`` from those of the places before, the nearest first."""
+    out = np.zeros_like(before[0])
+    for length in range(1, min(len(before), ids.shape[2]) + 1):
+        hit = np.flatnonzero(ids[:, i, length - 1] < len(p) - 1)
+        if len(hit):
+            out[hit] += before[length - 1][hit] * p[ids[hit, i, length - 1]]
+    return out
+
+
+def _scaled(before: list[np.ndarray], log: np.ndarray) -> None:
+    """Scale the held places up where the nearest has become small."""
+    small = before[0] < SMALL
+    if small.any():
+        by = np.where(small, np.maximum(before[0], 1e-300), 1.0)
+        for a in before:
+            a /= by
+        log += np.log(by)
+
+
 def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Sums over segmentations up to each place: ``[word, place, language]``."""
+    """Logarithms of the sums over segmentations up to each place: ``[word,
+    place, language]``."""
     n, m1, _ = ids.shape
-    a = np.zeros((n, m1, p.shape[1]))
-    a[:, 0] = 1
+    out, log = np.zeros((n, m1, p.shape[1])), np.zeros((n, p.shape[1]))
+    before = [np.ones((n, p.shape[1]))]
     for i in range(1, m1):
-        for length in range(1, min(i, ids.shape[2]) + 1):
-            hit = np.flatnonzero(ids[:, i, length - 1] < len(p) - 1)
-            if len(hit):
-                a[hit, i] += a[hit, i - length] * p[ids[hit, i, length - 1]]
-    return a
+        before.insert(0, _next(ids, i, before, p))
+        del before[ids.shape[2]:]
+        _scaled(before, log)
+        out[:, i] = np.log(np.maximum(before[0], 1e-300)) + log
+    return out
+
+
+def log_sums(pieces: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
+    """The last place of ``forward``, holding a part of the lattice at a time:
+    ``[word, language]``."""
+    codes = pieces.codes(words)
+    n, m = codes.shape
+    log, before = np.zeros((n, p.shape[1])), [np.ones((n, p.shape[1]))]
+    for lo in range(0, m, PLACES):
+        base = max(0, lo - pieces.longest + 1)
+        ids = pieces.lookup(codes[:, base:lo + PLACES])
+        for i in range(lo + 1 - base, ids.shape[1]):
+            before.insert(0, _next(ids, i, before, p))
+            del before[pieces.longest:]
+            _scaled(before, log)
+    return np.log(np.maximum(before[0], 1e-300)) + log
 
 
 def expected(ids: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected piece counts of weighted words under one language's ``p``."""
-    n, m1, _ = ids.shape
-    q = p[:, None]
-    a = forward(ids, q)[:, :, 0]
-    b = np.zeros((n, m1))
-    b[:, -1] = 1
+    n, m1, wide = ids.shape
+    a = forward(ids, p[:, None])[:, :, 0]
     out = np.zeros(len(p))
-    scale = weight / np.maximum(a[:, -1], 1e-300)
-    for i in range(m1 - 1, 0, -1):
-        for length in range(1, min(i, ids.shape[2]) + 1):
-            hit = np.flatnonzero(ids[:, i, length - 1] < len(p) - 1)
+    # sums after each place, the nearest first, and the logarithm they are scaled by
+    after, log = [np.ones((n, 1))], np.zeros((n, 1))
+    for i in range(m1 - 2, -1, -1):
+        now = np.zeros((n, 1))
+        for length in range(1, min(len(after), wide) + 1):
+            own = ids[:, i + length, length - 1]
+            hit = np.flatnonzero(own < len(p) - 1)
             if len(hit):
-                own = ids[hit, i, length - 1]
-                through = p[own] * b[hit, i]
-                b[hit, i - length] += through
-                np.add.at(out, own, a[hit, i - length] * through * scale[hit])
+                through = p[own[hit]] * after[length - 1][hit, 0]
+                now[hit, 0] += through
+                np.add.at(out, own[hit], weight[hit] * through * np.exp(np.minimum(a[hit, i] + log[hit, 0] - a[hit, -1], 700)))
+        after.insert(0, now)
+        del after[wide:]
+        _scaled(after, log)
     return out
 
 
 def by_length(words: list[str], most: int = 2048) -> Iterator[np.ndarray]:
-    """Places of words of one length, at most ``most`` at a time."""
+    """Places of words of one length, at most ``most`` and ``CELLS`` letters at a time."""
     n = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(n, kind="stable")
     edges = np.flatnonzero(np.diff(n[order])) + 1
     for own in np.split(order, edges):
-        for i in range(0, len(own), most):
-            yield own[i:i + most]
+        some = max(1, min(most, CELLS // max(1, n[own[0]]))) if len(own) else 1
+        for i in range(0, len(own), some):
+            yield own[i:i + some]
 
 
 def _units(b: tx.Block) -> tuple[tx.Words, np.ndarray]:
@@ -204,8 +250,7 @@ class Scorer:
     def words(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.model.languages)))
         for own in by_length(words):
-            a = forward(self.pieces.lattice([words[i] for i in own.tolist()]), self.model.p)
-            out[own] = np.log(np.maximum(a[:, -1], 1e-300))
+            out[own] = log_sums(self.pieces, [words[i] for i in own.tolist()], self.model.p)
         return out
 
     def __call__(self, b: tx.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -351,9 +396,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-def accept(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, with all columns as they are, that have a language with a
-    score of ``least`` or more."""
+def accept(docs: DataFrame, model: Model, least: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows, with all columns as they are, that have a language (not
+    ``und``) with a score of ``least`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
