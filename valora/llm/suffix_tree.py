@@ -136,7 +136,7 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
     return [b"" for _ in spans]
 
 
-METHOD = repeats.Method(length=LENGTH, gram=GRAM, by_id=True, symbols=_symbols, cut=_cut, classes=classes, per_block=6000)
+METHOD = repeats.Method(length=LENGTH, gram=GRAM, by_id=True, symbols=_symbols, cut=_cut, classes=classes, per_block=2000)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
