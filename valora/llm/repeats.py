@@ -347,21 +347,25 @@ def _resolve(fetched: DataFrame, method: Method) -> DataFrame:
                           pa.array(out[3], pa.int32()), pa.array(at[w[s]], pa.int32()), pa.nulls(len(s), pa.int64()),
                           pa.nulls(len(s), pa.int64())], names=names)
         # grams that go on in other blocks
-        full = dict(zip(*np.unique(key[chunk == 0], return_counts=True), strict=True))
-        more = (chunk > 0) | np.array([full.get(k, 0) >= CHUNK for k in key.tolist()], bool)
+        grams, of_gram = np.unique(key, return_inverse=True)
+        more = (chunk > 0) | (np.bincount(of_gram, chunk == 0, len(grams)) >= CHUNK)[of_gram]
         if not more.any():
             return spans
-        dropped = set(zip(w.tolist(), p.tolist(), strict=True))
-        reps: list[tuple] = []
+        base = np.cumsum(n, dtype=np.int64) - n   # of each context's windows, among all
+        left = np.ones(int(n.sum()), bool)
+        left[base[w] + p] = False
+        own, place, value = [], [], []
         for c in np.flatnonzero(more).tolist():
+            k = np.flatnonzero(left[base[c]:base[c] + n[c]])
             width = len(symbols[c]) // (n[c] + method.length - 1)
             h = tx.prefix_hash(np.frombuffer(symbols[c], np.uint8))
-            starts = np.arange(n[c]) * width
-            value = tx.span_hash(h, starts, starts + method.length * width).view(np.int64).tolist()
-            reps += [(id_[c], mark[c], at[c] + k, at[c] + k + method.length, at[c], key[c], value[k])
-                     for k in range(n[c]) if (c, k) not in dropped]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        extra = pa.table([pa.array(v, k) for v, k in zip(zip(*reps, strict=True), kinds, strict=True)], names=names)
+            own.append(np.full(len(k), c))
+            place.append(at[c] + k)
+            value.append(tx.span_hash(h, k * width, (k + method.length) * width).view(np.int64))
+        c, lo, value = np.concatenate(own), np.concatenate(place), np.concatenate(value)
+        extra = pa.table([pa.array(id_[c], pa.int64()), pa.array(mark[c], pa.int64()), pa.array(lo, pa.int32()),
+                          pa.array(lo + method.length, pa.int32()), pa.array(at[c], pa.int32()), pa.array(key[c], pa.int64()),
+                          pa.array(value, pa.int64())], names=names)
         return pa.concat_tables([spans, extra])
 
     names = ["id", "mark", "lo", "hi", "of", "key", "window"]
