@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from oracle_check import compare, duck
+from valora.operators import split
 from valora.operators.split import with_folds, with_split
 from valora.sources.tables import sales_table
 
@@ -49,6 +50,24 @@ def test_split_of_odd_ids(spark):
     assert with_split(three, "k").where("is_test").count() == 1
 
 
+def test_cuts_are_ranks(spark, monkeypatch):
+    """Places found level by level against a sort, with distinct hashes, with a
+    third of the ids null, and with many ids to a hash."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("k"))
+    ranks = [0, 5, 1500, 2000, 2001, 2999]
+    whole = split.hash_int
+
+    def check():
+        own = sorted(tuple(r) for r in rows.select(split.hash_int(F.col("k"), "s"), split._id_text(F.col("k"))).collect())
+        assert split._places_at(rows, "k", "s", lambda n: ranks) == (3000, [own[r] for r in ranks])
+
+    check()
+    monkeypatch.setattr(split, "CELLS", 16)
+    check()
+    monkeypatch.setattr(split, "hash_int", lambda c, salt: whole(c, salt) % 5)
+    check()
+
+
 def test_sales_table_shape(spark):
     s = sales_table(spark, SF)
     n = s.count()

@@ -3,10 +3,12 @@
 A row's place is its rank by (hash of the id, id as text): the first
 ``ceil(test_size * n)`` ranks are the hold-out, and fold ``i`` holds the ranks
 from ``ceil(i * n / k)`` on.  No row is ranked: the hash values at those ranks
-are found by counting hashes in ``CELLS`` cells, then only in the cells that
-hold a wanted rank, so the driver sees at most ``CELLS`` counts and the few
-rows of those cells, and every row is then placed by a comparison, without a
-shuffle.  The hash is part of an MD5 digest under a salt of its own per use, so
+are found digit by digit.  Hashes are counted in ``CELLS`` cells by their first
+bits, then only the cells that hold a wanted rank by their next bits, until one
+hash value is left per rank; its distinct ids (more than one only where 48 bits
+collide) give the place.  The driver sees at most ``CELLS`` counts per rank and
+level, however many rows there are, and every row is then placed by a
+comparison, without a shuffle.  The hash is part of an MD5 digest under a salt of its own per use, so
 split and folds are independent; it works for ids of any type, and SQL can
 restate it.
 
@@ -64,29 +66,40 @@ def _places_at(df: DataFrame, id_col: str, salt: str,
     """The row count ``n``, and ``(hash, id as text)`` at the 0-based ranks
     ``ranks_of(n)``."""
     rows = df.select(hash_int(c(id_col), salt).alias("h"), _id_text(c(id_col)).alias("t"))
-    shift = 4 * HEX_DIGITS - int(math.log2(CELLS))
-    cell = F.shiftright("h", shift)
-    counts = sorted((r["cell"], r["n"]) for r in
-                    rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect())
-    n = sum(x for _, x in counts)
+    bits, step = 4 * HEX_DIGITS, int(math.log2(CELLS))
+
+    def counted(part: DataFrame, key: list[str]) -> list:
+        return sorted(tuple(r) for r in part.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).collect())
+
+    def holding(counts: list, offsets: dict[int, int], ranks: list[int], inside: Callable) -> dict[int, tuple]:
+        """For each rank the counted entry that holds it, and the rows before that
+        entry; ``offsets`` has the rows before each entry's parent ``inside(entry)``."""
+        out, at = {}, dict(offsets)
+        for *entry, size in counts:
+            parent = inside(entry)
+            before = at[parent]
+            out.update({r: (entry, before) for r in ranks if before <= r < before + size and under[r] == parent})
+            at[parent] = before + size
+        return out
+
+    shift = bits - step
+    counts = counted(rows.select(F.shiftright("h", shift).alias("cell")), ["cell"])
+    n = sum(size for _, size in counts)
     ranks = ranks_of(n)
-    before, hit = 0, {}
-    for x, size in counts:
-        own = [r for r in ranks if before <= r < before + size]
-        if own:
-            hit[x] = [(r, r - before) for r in own]
-        before += size
-    found: dict[int, tuple[int, str]] = {}
-    if hit:
-        # of equal rows their number is enough
-        inside = (rows.where(cell.isin(list(hit))).groupBy("h", "t")
-                  .agg(F.count(F.lit(1)).alias("n")).orderBy("h", "t").collect())
-        for x, places in hit.items():
-            at = 0
-            for r in (r for r in inside if r["h"] >> shift == x):
-                found.update({rank: (r["h"], r["t"]) for rank, place in places if at <= place < at + r["n"]})
-                at += r["n"]
-    return n, [found[r] for r in ranks]
+    under = dict.fromkeys(ranks, 0)   # the cell found for each rank so far
+    found = holding(counts, {0: 0}, ranks, lambda e: 0)
+    while ranks:
+        under = {r: found[r][0][0] for r in ranks}
+        offsets = {cell: before for (cell, *_), before in found.values()}
+        own = rows.where(F.shiftright("h", shift).isin(list(offsets)))
+        if shift == 0:  # one hash value per rank: of equal rows their number is enough
+            found = holding(counted(own, ["h", "t"]), offsets, ranks, lambda e: e[0])
+            break
+        finer = max(0, shift - step)
+        counts = counted(own.select(F.shiftright("h", finer).alias("cell")), ["cell"])
+        found = holding(counts, offsets, ranks, lambda e, by=shift - finer: e[0] >> by)
+        shift = finer
+    return n, [tuple(found[r][0]) for r in ranks]
 
 
 def _at_or_after(id_col: Column, salt: str, place: tuple[int, str]) -> Column:
