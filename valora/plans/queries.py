@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from valora.functions.exprs import c, inverse_log_target, log_target, pct_text, round_doubles
@@ -25,8 +25,8 @@ from valora.operators.quantiles import quantiles
 from valora.operators.split import fold_salt, rank_sql, split_salt, train_test_split, with_folds, with_split
 from valora.plans.sql import feature_sql, features_sql, linear_fit_sql, mode_sql, q, r4
 from valora.session import cut_lineage, ensure_checkpoint_dir
-from valora.sources.files import load_processed, load_raw, save_splits, save_table, score_file
-from valora.sources.records import apply_scoring_schema, union_records
+from valora.sources.files import load_processed, load_raw, save_leaderboard, save_profile, save_splits, save_summary, save_table, score_file
+from valora.sources.records import apply_scoring_schema, check_row_limit, records_to_frame, union_records
 from valora.sources.registry import save_artifacts
 from valora.sources.tables import SALES_SQL, read_table, sales_table
 from valora.spec import SALES_SPEC, SETTINGS, ColumnSpec, FeatureDef
@@ -1087,6 +1087,124 @@ def q_stream(spark, d):
     return round_doubles(parts[0].unionByName(parts[1]).select(*SALES_COLS, "valid"))
 
 
+@register("profile_correlation_submatrix", f"""
+WITH {SALES_SQL}, tc AS ({_TOP_UNION}), cm AS ({_CORR_UNION}),
+top AS (SELECT feature FROM tc WHERE v IS NOT NULL AND NOT isnan(v) ORDER BY v DESC, feature LIMIT 5),
+kept AS (SELECT feature FROM top UNION ALL SELECT '{TARGET}')
+SELECT a, b, {r4('v')} AS corr FROM cm WHERE a IN (SELECT feature FROM kept) AND b IN (SELECT feature FROM kept)""")
+def q_submatrix(spark, d):
+    """the target and the five columns closest to it."""
+    return round_doubles(profile.correlation_submatrix(_sales(spark, d), TARGET, 5, _NUM))
+
+
+def _of(name: str) -> str:
+    return f"({REGISTRY[name][1]})"
+
+
+_REPORT = {   # table of the report -> item, value, the query that restates it
+    "shape": ("'rows'", "rows", "profile_shape"),
+    "target": ("'median'", "median", "profile_target_stats"),
+    "missing": ("`column`", "n_missing", "profile_missing"),
+    "top_correlations": ("feature", "abs_corr", "profile_top_correlations"),
+    "target_histogram": ("bin", "n", "profile_histogram"),
+    "log_target_histogram": ("bin", "n", "profile_log_histogram"),
+    "target_by_group": ("o_orderpriority", "n_outliers", "profile_box_by_group"),
+    "median_by_group": ("n_name", "median_target", "profile_median_by_group"),
+}
+_REPORT_SQL = " UNION ALL ".join(
+    f"""SELECT '{k}' AS report, CAST({item.replace('`', '"')} AS VARCHAR) AS item, CAST({q(value)} AS DOUBLE) AS value FROM {_of(name)}"""
+    for k, (item, value, name) in _REPORT.items())
+
+
+@register("profile_report", f"SELECT report, item, {r4('value')} AS value FROM ({_REPORT_SQL})")
+def q_report(spark, d):
+    """The whole report written as JSON lines and read back."""
+    paths = save_profile(profile.profile(_sales_once(spark, d), SPEC), _folder(spark, "profile"))
+    parts = [spark.read.json(paths[k]).selectExpr(
+        f"'{k}' AS report", f"CAST({item} AS STRING) AS item", f"CAST(`{value}` AS DOUBLE) AS value")
+        for k, (item, value, _) in _REPORT.items()]
+    return round_doubles(reduce(DataFrame.union, parts))
+
+
+@register("source_records", f"""
+WITH {SALES_SQL}
+SELECT n_name, count(*) AS n, {r4('avg(c_acctbal)')} AS balance,
+       CASE WHEN count(*) % 2 = 0 THEN max(order_year) END AS last_year
+FROM sales GROUP BY n_name""")
+def q_records(spark, d):
+    """One record per nation, without its unset fields, as a table
+    within the row limit."""
+    per = _sales(spark, d).groupBy("n_name").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("balance"),
+        F.when(F.count(F.lit(1)) % 2 == 0, F.max("order_year")).alias("last_year"))
+    records = [{k: v for k, v in r.asDict().items() if v is not None} for r in per.collect()]
+    frame = check_row_limit(records_to_frame(spark, records), 10_000)
+    absent = [F.lit(None).cast("int").alias(x) for x in ("last_year",) if x not in frame.columns]
+    return round_doubles(frame.select("*", *absent).select("n_name", "n", "balance", F.col("last_year").cast("int").alias("last_year")))
+
+
+@register("sink_leaderboard", f"""
+WITH {SALES_SQL}, m AS (SELECT avg(o_totalprice) AS a, median(o_totalprice) AS b FROM sales),
+e AS (SELECT 'mean' AS model, o_totalprice AS y, a AS p FROM sales, m UNION ALL
+      SELECT 'median', o_totalprice, b FROM sales, m UNION ALL SELECT 'zero', o_totalprice, 0.0 FROM sales),
+s AS (SELECT model, round(sqrt(avg((y - p) * (y - p))), 2) AS rmse, round(avg(abs(y - p)), 2) AS mae FROM e GROUP BY model),
+r AS (SELECT *, row_number() OVER (ORDER BY rmse, model) AS rank FROM s)
+SELECT CAST(rank AS INTEGER) AS rank, model, {r4('rmse', 2)} AS rmse, {r4('mae', 2)} AS mae, rank = 1 AS best,
+       {r4('first_value(mae) OVER (ORDER BY rank)', 2)} AS best_mae FROM r""")
+def q_leaderboard_files(spark, d):
+    """Ranked constant predictions as CSV and their summary as JSON, read back."""
+    from valora.operators.metrics import regression_metric_exprs
+    from valora.sources.registry import read_json
+    sales, folder = _sales_once(spark, d), _folder(spark, "board")
+    mean, median = sales.agg(F.avg(TARGET), F.median(TARGET)).first()
+    guesses = F.array(*[F.struct(F.lit(k).alias("model"), F.lit(float(v)).alias("p"))
+                        for k, v in (("mean", mean), ("median", median), ("zero", 0.0))])
+    scored = sales.select(F.col(TARGET).cast("double").alias("y"), F.inline(guesses))
+    board = scored.groupBy("model").agg(*regression_metric_exprs(F.col("y"), F.col("p")))
+    board = board.withColumn("rank", F.row_number().over(Window.orderBy("rmse", "model")))
+    back = load_raw(spark, save_leaderboard(board, f"{folder}/leaderboard"))
+    top = back.where("rank = 1").first().asDict()
+    save_summary(spark, {"best_model": top["model"], "holdout_metrics": {"mae": top["mae"]}}, f"{folder}/summary")
+    summary = read_json(spark, f"{folder}/summary")
+    return back.select(F.col("rank").cast("int").alias("rank"), "model", F.col("rmse").cast("double").alias("rmse"),
+                       F.col("mae").cast("double").alias("mae"), (F.col("model") == summary["best_model"]).alias("best"),
+                       F.lit(float(summary["holdout_metrics"]["mae"])).alias("best_mae"))
+
+
+_ABSENT_SPEC = ColumnSpec(name="absent", id_col=ID, target_col="none", none_fill_numeric=(),
+                          numeric=("o_totalprice", "line_qty"), nominal=("o_orderstatus",))
+
+
+@register("encode_absent_columns", f"""
+WITH {SALES_SQL}
+SELECT o_orderkey, {r4('coalesce(o_totalprice, (SELECT median(o_totalprice) FROM sales))')} AS o_totalprice,
+       {r4('(SELECT median(line_qty) FROM sales)')} AS line_qty,
+       CAST({mode_sql('sales', 'o_orderstatus')} = 'O' AS DOUBLE) AS "o_orderstatus_O",
+       CAST({mode_sql('sales', 'o_orderstatus')} = 'P' AS DOUBLE) AS "o_orderstatus_P" FROM sales""")
+def q_absent_columns(spark, d):
+    """Columns that the rows lack get the median or mode of the fit."""
+    rows = _sales_once(spark, d).select(ID, "o_totalprice", "line_qty", "o_orderstatus")
+    model = Preprocessor(_ABSENT_SPEC, scale=False).fit(rows)
+    return round_doubles(model.transform_columns(rows.drop("line_qty", "o_orderstatus"), keep=[ID]))
+
+
+@register("job_load_and_split", f"""
+WITH {SALES_SQL}, {_bounds_ctes()}, cl AS (SELECT {_RO_SEL} FROM base, bnd),
+sp AS (SELECT *, {_TEST_SQL} AS is_test, CAST(o_totalprice AS DECIMAL(38, 2)) AS cents FROM cl)
+SELECT 'dataset' AS name, count(*) AS n, CAST(sum(cents) AS DOUBLE) AS total FROM sp
+UNION ALL SELECT 'train', count(*), CAST(sum(cents) AS DOUBLE) FROM sp WHERE NOT is_test
+UNION ALL SELECT 'test', count(*), CAST(sum(cents) AS DOUBLE) FROM sp WHERE is_test""")
+def q_load_and_split(spark, d):
+    """M1: cleaned, split and stored; the stored tables read back."""
+    from valora.plans.jobs import load_and_split
+    root = _folder(spark, "job")
+    load_and_split(_sales(spark, d), SPEC, out_root=root, skip_profile=True)
+    total = F.sum(F.round(TARGET, 4).cast("decimal(38, 2)")).cast("double").alias("total")
+    return reduce(DataFrame.union, [
+        load_processed(spark, f"{root}/{k}").agg(F.count(F.lit(1)).alias("n"), total).select(F.lit(k).alias("name"), "n", "total")
+        for k in ("dataset", "train", "test")])
+
+
 @register("explain_forest_local_top15")
 def q_forest_local(spark, d):
     """TreeSHAP attributions of the preset forest for every hold-out row."""
