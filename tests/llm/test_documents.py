@@ -136,12 +136,50 @@ def test_edited_texts(docs, monkeypatch, part):
             error.append(abs(len(a & b) / len(a | b) - r["near_next"]))
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
     assert max(error) < 0.2 and np.mean(error) < 0.02
+    for least, most, bound in ((1, 30, 0.15), (30, 100, 0.1), (100, 400, 0.06), (400, 10**9, 0.03)):
+        error = []
+        for r in out:
+            a = texts[r["doc_id"]]
+            half = len(a or "") // 2
+            b = (a or "")[:len(a or "") - half] + (texts[following[r["doc_id"]]] or "")[:half]
+            x, y = shingles(a), shingles(b)
+            if x | y and least <= len(x | y) < most:
+                error.append(abs(len(x & y) / len(x | y) - r["near_edited"]))
+        assert not error or np.mean(error) < bound, (least, len(error), np.mean(error))
     by_text = defaultdict(set)
     for r in out:
         by_text[texts[r["doc_id"]]].add(r["fingerprint"])
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_parts_of_odd_ids(spark, monkeypatch):
+    """One id far from the others, a third of the ids null, many rows with one
+    id: no part is much above its size, and every row meets the next one."""
+    monkeypatch.setattr(fingerprints, "PART_BYTES", 4000)
+    ids = [*range(400), 1 << 60, -(1 << 62), *[None] * 300, *[77] * 200]
+    rows = [(i, f"row {k} " + "word " * (k % 40)) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = docs.select(F.col("doc_id").isNull().cast("long").alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id"),
+                        F.xxhash64("text").alias("mark"), (F.octet_length("text") + 1).alias("bytes"))
+    firsts = fingerprints._parts(sizes)
+    at = {tuple(x) for x in firsts}
+    size, own = [], 0
+    for r in sorted(tuple(r) for r in sizes.collect()):
+        if r[:3] in at:
+            size.append(own)
+            own = 0
+        own += r[3]
+    assert size[0] == 0 and len(firsts) > 20 and max(*size, own) <= 2 * 4000
+    out = fingerprints.edited_fingerprints(docs)
+    mark = {r[0]: r[1] for r in docs.select("text", F.xxhash64("text")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, mark[r[1]]))
+    wanted = []
+    for (i, a), (_, b) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(a) // 2
+        wanted.append((i, len(a), hashlib.sha256((a[:len(a) - half] + b[:half]).encode()).hexdigest()))
+    assert sorted(map(repr, wanted)) == sorted(repr(tuple(r)[:3]) for r in out.collect())
+
+
 def test_sketches_merge():
     """The sketch of a union of shingles is the union of sketches."""
     import pyarrow as pa

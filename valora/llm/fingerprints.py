@@ -9,11 +9,14 @@ fingerprints even where a short text keeps no hash.
 
 ``edited_fingerprints`` also fingerprints an edited form of each text that
 takes its second half from the next document in id order.  For that the rows
-are dealt by ranges of ids: the ids' range is cut into at most ``CELLS`` equal
-cells, neighbouring cells form parts of about ``PART_BYTES`` of text, and the
-first row of each part is also sent to the part before it.  Each part is then
-a sorted stream in which a row meets the next one; the texts are shuffled once
-and no part has to fit in memory.
+are dealt by ranges of (id, text hash): the ids' range is cut into at most
+``CELLS`` equal cells; a cell that holds more than a part is cut again over the
+range of its own ids, or of its text hashes if it has one id only, until none
+does.  Neighbouring cells form parts of about ``PART_BYTES`` of text (a share
+of ``1 / CELLS`` of very large tables), and the first row of each part is also
+sent to the part before it.  Each part is then a sorted stream in which a row
+meets the next one; the texts are shuffled once and no part has to fit in
+memory.  Only rows that repeat entirely, id and text, cannot be parted.
 
 Defined cases: a null text is an empty one; an empty text, or one without
 words, has no shingles; fewer words than a shingle's length are one shingle;
@@ -30,14 +33,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from valora.llm import text as tx
+from valora.session import cut_lineage
 
 SHINGLE = 5
-SCALE = 8
+SCALE = 4
 CELLS = 1 << 16
 PART_BYTES = 8 << 20
 SLICE_BYTES = 4 << 20
@@ -83,23 +88,73 @@ def likeness(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray]) -> tuple[floa
     return shared / (len(a[1]) + len(b[1]) - shared), shared / len(a[1])
 
 
-def _parts(rows: DataFrame) -> DataFrame:
-    """A table of the cells of ids, at most ``CELLS`` + 1 rows: ``cell, part``,
-    and the first row of a part with the part before it (``first_id,
-    first_mark, to``)."""
-    cells = rows.groupBy("cell").agg(F.sum("bytes").alias("bytes"), F.min(F.struct("id", "mark")).alias("first"))
-    found = sorted(cells.collect(), key=lambda r: r["cell"])
-    table, part, size = [], -1, PART_BYTES
-    for r in found:
-        if size >= PART_BYTES:
-            part, size = part + 1, 0
-            table.append((r["cell"], part, r["first"]["id"], r["first"]["mark"], part - 1, True))
-        else:
-            table.append((r["cell"], part, None, None, None, False))
-        size += r["bytes"]
-    # the part before the first is the last one
-    table = [(*t[:4], part if t[4] == -1 else t[4], t[5]) for t in table]
-    return rows.sparkSession.createDataFrame(table, "cell int, part int, first_id long, first_mark long, to int, leads boolean")
+Place = tuple[int, int, int]   # null id, id (0 if null), text hash: the order of the rows
+LEAST = -(1 << 63)
+
+
+def _cell_of(bounds: list[Place]):
+    """A function of Arrow-backed columns: twice the number of the last bound at
+    or before a row, and 1 more if the row is at it."""
+    keys = np.array(bounds, np.int64).reshape(-1, 3)
+
+    @F.pandas_udf("long")
+    def cell(null: pd.Series, i: pd.Series, mark: pd.Series) -> pd.Series:
+        rows = np.stack([null.to_numpy(np.int64), i.to_numpy(np.int64), mark.to_numpy(np.int64)], 1)
+        both = np.concatenate([keys, rows])
+        row = np.arange(len(both)) >= len(keys)
+        order = np.lexsort((row, both[:, 2], both[:, 1], both[:, 0]))   # a bound comes before its rows
+        at = np.empty(len(both), np.int64)
+        at[order] = np.cumsum(~row[order]) - 1
+        at = at[len(keys):]
+        return pd.Series(2 * at + (keys[at] == rows).all(1))
+
+    return cell
+
+
+def _cut(least: int, most: int, pieces: int) -> list[int]:
+    """Starts of the second and further of equal ranges from ``least`` to ``most``."""
+    width = (most - least) // pieces + 1
+    return list(range(least + width, most + 1, width))
+
+
+def _parts(rows: DataFrame) -> list[Place]:
+    """The first row of each part of ``null, id, mark, bytes``.  The driver sees
+    cells only, at most a small multiple of ``CELLS``."""
+    total, low, high = rows.agg(F.sum("bytes"), F.min(F.when(F.col("null") == 0, F.col("id"))),
+                                F.max(F.when(F.col("null") == 0, F.col("id")))).first()
+    if not total:
+        return []
+    limit = max(PART_BYTES, total // CELLS)
+    bounds = [(0, low, LEAST), *[(0, x, LEAST) for x in _cut(low, high, CELLS)]] if low is not None else []
+    bounds.append((1, 0, LEAST))
+    cells: list[tuple[Place, int]] = []   # first row and bytes of those that are small enough
+    place = F.struct("null", "id", "mark")
+    while bounds:
+        cell = _cell_of(bounds)
+        dealt = rows.select("*", F.shiftright(cell("null", "id", "mark"), 1).alias("cell"))
+        found = dealt.where("cell >= 0").groupBy("cell").agg(
+            F.sum("bytes"), F.min(place), F.max(place), F.min("mark"), F.max("mark")).collect()
+        bounds, heavy = [], []
+        for _, size, least, most, low_mark, high_mark in sorted(found, key=lambda r: r["cell"]):
+            pieces = 2 * -(-size // limit) + 2
+            if size <= limit or tuple(least) == tuple(most):
+                cells.append((tuple(least), size))
+            elif least["id"] < most["id"]:
+                heavy.append((tuple(least), tuple(most)))
+                bounds += [tuple(least), *[(least["null"], x, LEAST) for x in _cut(least["id"], most["id"], pieces)]]
+            else:
+                heavy.append((tuple(least), tuple(most)))
+                bounds += [tuple(least), *[(least["null"], least["id"], x) for x in _cut(low_mark, high_mark, pieces)]]
+        if heavy:   # only their rows are looked at again
+            ends = _cell_of([x for pair in heavy for x in pair])("null", "id", "mark")
+            rows = rows.where(ends.isNotNull() & (ends >= 0) & ((F.shiftright(ends, 1) % 2 == 0) | (ends % 2 == 1)))
+    firsts, size = [], limit
+    for first, own in sorted(cells):
+        if size >= limit:
+            firsts.append(first)
+            size = 0
+        size += own
+    return firsts
 
 
 def edited_fingerprints(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE, id_col: str = "doc_id",
@@ -108,19 +163,17 @@ def edited_fingerprints(docs: DataFrame, shingle: int = SHINGLE, scale: int = SC
     near_edited, near_next, containment_edited, containment_next``."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"),
                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    low, high = rows.agg(F.min("id"), F.max("id")).first()
-    low, high = low or 0, high or 0
-    width = (high - low) // CELLS + 1
-    rows = rows.select("id", "text", F.xxhash64("text").alias("mark"),
-                       F.when(F.col("id").isNull(), CELLS)
-                       .otherwise(F.floor((F.col("id") - F.lit(low)) / F.lit(width))).cast("int").alias("cell"))
-    table = _parts(rows.select("id", "mark", "cell", (F.octet_length("text") + 1).alias("bytes")))
-    leads = F.col("leads") & F.col("id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
-    home = F.struct(F.col("part"), F.lit(False).alias("guest"))
-    away = F.struct(F.col("to").alias("part"), F.lit(True).alias("guest"))
-    dealt = (rows.join(F.broadcast(table), "cell")
-             .select(F.explode(F.when(leads, F.array(home, away)).otherwise(F.array(home))).alias("at"), "id", "mark", "text")
-             .select("at.part", "at.guest", "id", "mark", "text").repartition("part")
+    rows = rows.select("id", "text", F.xxhash64("text").alias("mark"), F.col("id").isNull().cast("long").alias("null"))
+    key = (F.col("null"), F.coalesce("id", F.lit(0)), F.col("mark"))
+    firsts = _parts(cut_lineage(rows.select("null", key[1].alias("id"), "mark", (F.octet_length("text") + 1).alias("bytes"))))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(firsts) // 4)
+    home = F.struct(F.shiftright("cell", 1).alias("part"), F.lit(False).alias("guest"))
+    # the part before the first is the last one
+    away = F.struct(F.pmod(F.shiftright("cell", 1) - 1, F.lit(max(1, len(firsts)))).alias("part"), F.lit(True).alias("guest"))
+    dealt = (rows.select("id", "text", "mark", _cell_of(firsts or [(0, 0, LEAST)])(*key).alias("cell"))
+             .select(F.explode(F.when(F.col("cell") % 2 == 1, F.array(home, away)).otherwise(F.array(home))).alias("at"),
+                     "id", "mark", "text")
+             .select("at.part", "at.guest", "id", "mark", "text").repartition(tasks, "part")
              .sortWithinPartitions("part", "guest", F.col("id").asc_nulls_last(), "mark")
              .select("part", "guest", "id", "text"))
 
