@@ -50,6 +50,35 @@ def test_unequal_lengths_and_copies(spark):
     assert recall(hnsw.neighbours(df).collect(), exact(list(range(1200)), x)) >= 0.95
 
 
+@pytest.mark.parametrize("kind", ["random", "clusters"])
+def test_recall_in_shards_far_above_the_beam(spark, kind):
+    """7,000 vectors in one graph, 14 times the beam, and in two."""
+    rnd = np.random.default_rng(11)
+    x = rnd.normal(size=(7000, 64))
+    if kind == "clusters":
+        x = x * 0.3 + rnd.normal(size=(50, 64))[rnd.integers(0, 50, 7000)]
+    ids = list(range(7000))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    expected = exact(ids, x)
+    assert 7000 > 10 * hnsw.EF_SEARCH
+    assert recall(hnsw.neighbours(df).collect(), expected) >= 0.9
+    assert recall(hnsw.neighbours(df, shard_rows=3500).collect(), expected) >= 0.9
+
+
+def test_queries_as_a_stream(spark):
+    """Batches of a few rows, several shards and copies of a shard, two lengths of vectors: the same rows."""
+    rnd = np.random.default_rng(3)
+    rows = [(i, rnd.normal(size=4 if i % 7 == 0 else 6).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    usual = sorted(map(tuple, hnsw.neighbours(df, every=3, shard_rows=200).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(tuple, hnsw.neighbours(df, every=3, shard_rows=200).collect())) == usual
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r[0] for r in usual} == set(range(0, 900, 3))
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [nan, 1.0]), (80, [inf, 1.0]),

@@ -16,8 +16,8 @@ of a batch advance together, so the work is array work.
 
 Equal vectors are one node that carries its smallest ``k + 1`` ids: no other
 of its rows can be among the ``k`` nearest.  They are picked before the
-shuffle, so a very common vector is no hot group.  Queries meet every shard in
-blocks, and the shards' results are merged by rank.
+shuffle, so a very common vector is no hot group.  Queries meet every shard as
+a stream, and the shards' results are merged by rank.
 
 Defined cases: vectors that are null, empty, zero or hold a null or a
 non-finite component, and rows without an id, take no part; rows that repeat
@@ -36,10 +36,9 @@ from pyspark.sql import functions as F
 from valora.session import cut_lineage
 
 SHARD_ROWS = 16_384
-QUERY_BLOCK = 16_384
 LINKS = 16
 EF_BUILD = 96
-EF_SEARCH = 256
+EF_SEARCH = 512
 BATCH = 256
 EXPAND = 4
 
@@ -284,42 +283,66 @@ def _load(r: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF_SEARCH) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest found for ``id, vec``."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    shards = index.select("dim", "shard")
-    q = (queries.withColumn("dim", F.size("vec")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-         .join(F.broadcast(shards.groupBy("dim").agg(F.collect_list("shard").alias("shards"))), "dim")
-         .select("dim", F.explode("shards").alias("shard"), "block", "id", "vec"))
-    every = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def find(shard: pa.Table, own: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if shard.num_rows and own.num_rows:
-            g, vec, ids, counts = _load(shard.to_pylist()[0])
-            first = np.cumsum(counts) - counts
-            qid, x = own["id"].to_numpy(), _matrix(own["vec"])
-            for i, row in enumerate(g.search(x, max(ef, k + 1))):
-                row = row[row >= 0]
-                score = (vec[row] * x[i]).sum(axis=1)
-                each = counts[row]
-                member = ids[np.repeat(first[row] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
-                score = np.repeat(score, each)
-                other = member != qid[i]
-                member, score = member[other], score[other]
-                best = np.lexsort((member, -score))[:k]
-                out["query_id"].append(np.full(len(best), qid[i]))
-                out["vec_id"].append(member[best])
-                out["score"].append(score[best])
-        return pa.table({n: np.concatenate(v) if v else np.zeros(0, np.float64 if n == "score" else np.int64)
-                         for n, v in out.items()})
-
-    found = (every.groupBy("dim", "shard", "block").cogroup(q.groupBy("dim", "shard", "block"))
-             .applyInArrow(find, "query_id long, vec_id long, score double"))
+    """``query_id, rank, vec_id, score``: the ``k`` nearest found for ``id, vec``.
+
+    A task reads a shard once and then its queries as a stream, so neither the
+    copies of a shard nor the memory grow with the queries; a shard goes to
+    several tasks only while there are fewer shards than cores."""
+    shards, cores = max(1, index.count()), index.sparkSession.sparkContext.defaultParallelism
+    parts = -(-cores // shards)
+    each_shard = F.broadcast(index.groupBy("dim").agg(F.collect_list("shard").alias("shards")))
+    q = (queries.withColumn("dim", F.size("vec")).join(each_shard, "dim")
+         .select("dim", F.explode("shards").alias("shard"),
+                 F.pmod(F.xxhash64("id", "dim"), F.lit(parts)).cast("int").alias("part"),
+                 F.lit(1).alias("after"), F.col("id").alias("query_id"), F.col("vec").alias("query")))
+    every = index.withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "after": F.lit(0)})
+    keys = ["dim", "shard", "part"]
+    dealt = (every.unionByName(q, allowMissingColumns=True).repartition(max(shards * parts, 4 * cores), *keys)
+             .sortWithinPartitions(*keys, "after"))
+
+    def find(batches):
+        loaded = None
+        for batch in batches:
+            after = batch.column("after").to_numpy()
+            at = 0
+            while at < len(after):
+                if after[at] == 0:
+                    loaded = None  # one shard at a time
+                    loaded = _load(batch.slice(at, 1).to_pylist()[0])
+                    at += 1
+                    continue
+                to = at + int(np.argmin(np.append(after[at:], 0)))
+                yield from _nearest(loaded, pa.Table.from_batches([batch.slice(at, to - at)]), k, ef).to_batches()
+                at = to
+
+    found = dealt.mapInArrow(find, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return (found.withColumn("rank", rank).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
 
+def _nearest(loaded: tuple, own: pa.Table, k: int, ef: int) -> pa.Table:
+    """The ``k`` nearest in one shard for each of some queries."""
+    out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+    g, vec, ids, counts = loaded
+    first = np.cumsum(counts) - counts
+    qid, x = own["query_id"].to_numpy(), _matrix(own["query"])
+    for i, row in enumerate(g.search(x, max(ef, k + 1))):
+        row = row[row >= 0]
+        score = (vec[row] * x[i]).sum(axis=1)
+        each = counts[row]
+        member = ids[np.repeat(first[row] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
+        score = np.repeat(score, each)
+        other = member != qid[i]
+        member, score = member[other], score[other]
+        best = np.lexsort((member, -score))[:k]
+        out["query_id"].append(np.full(len(best), qid[i]))
+        out["vec_id"].append(member[best])
+        out["score"].append(score[best])
+    return pa.table({n: np.concatenate(v) if v else np.zeros(0, np.float64 if n == "score" else np.int64)
+                     for n, v in out.items()})
+
+
 def neighbours(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
                vec_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The ``k`` nearest found, by inner product, for each row whose id is
