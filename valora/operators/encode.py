@@ -11,6 +11,10 @@ Order differs between fit and transform on purpose (parity): fit fills
 first and derives features afterwards; transform fills absent-coded values,
 derives features, adds missing known columns, then imputes from the
 training statistics.
+
+The assembled vector is dense up to ``_DENSE_MAX`` one-hot features; beyond,
+categories are looked up in a broadcast table and the vector is sparse, with
+the same values in the same places.  Unknown categories are all zero in both.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import uuid
 from dataclasses import asdict
 
 from pyspark.ml import Estimator, Model
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import (DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable,
@@ -38,6 +43,7 @@ from valora.session import ensure_checkpoint_dir
 from valora.spec import SETTINGS, ColumnSpec, FeatureDef, KnownError, Settings
 
 _LITERAL_MAP_MAX = 5_000
+_DENSE_MAX = 512  # one-hot features that are expressions of one dense vector; more are looked up
 _KEPT = "__valora_in_"
 _GROUP = "__valora_group"
 
@@ -66,6 +72,13 @@ def _category_key(v):
     return (0, float(v), "") if isinstance(v, (int, float)) else (1, 0.0, str(v))
 
 
+def _number_text(v: float) -> str:
+    """``v`` as Java's ``%a`` writes it."""
+    digits, power = (v + 0.0).hex().split("p")
+    head, _, tail = digits.partition(".")
+    return f"{head}.{tail.rstrip('0') or '0'}p{int(power)}"
+
+
 def _lookup(mapping: dict, key: Column) -> Column:
     """Literal map lookup (no join) for small maps."""
     if not mapping:
@@ -194,6 +207,7 @@ class PreprocessorModel(Model, MLReadable, MLWritable):
         if stats is not None:
             self._set(statsJson=json.dumps(stats))
         self._stats_cache = None
+        self._vocabularies: dict[tuple, CountVectorizerModel] = {}
 
     @property
     def stats(self) -> dict:
@@ -264,7 +278,7 @@ class PreprocessorModel(Model, MLReadable, MLWritable):
                                           F.lit(float(s["numeric_center"].get(f.name) or 0.0)))
         return x.withColumns(fill) if fill else x
 
-    def feature_exprs(self, x: DataFrame) -> list[Column]:
+    def feature_exprs(self, x: DataFrame, onehot: bool = True) -> list[Column]:
         s, spec = self.stats, self.spec
         out: list[Column] = []
         for n in s["numeric"]:
@@ -279,7 +293,7 @@ class PreprocessorModel(Model, MLReadable, MLWritable):
         for n in s["ordinal"]:
             ranks = {cat: float(i) for i, cat in enumerate(spec.ordinal[n])}
             out.append(F.coalesce(_lookup(ranks, c(n).cast("string")), F.lit(-1.0)).alias(n))
-        for n in s["nominal"]:
+        for n in s["nominal"] if onehot else []:
             cats = s["categories"].get(n, [])
             numeric_col = is_numeric(x.schema[n].dataType)
             for v in cats[1:]:
@@ -299,9 +313,36 @@ class PreprocessorModel(Model, MLReadable, MLWritable):
     def _transform(self, df: DataFrame) -> DataFrame:
         """Input columns kept, plus the assembled vector ``outputCol``."""
         x = self._prepare(df.withColumns({f"{_KEPT}{i}": c(n) for i, n in enumerate(df.columns)}))
-        feats = self.feature_exprs(x)
-        vec = array_to_vector(F.array(*feats)).alias(self.getOrDefault(self.outputCol))
-        return x.select(*[F.col(f"`{_KEPT}{i}`").alias(n) for i, n in enumerate(df.columns)], vec)
+        kept = [F.col(f"`{_KEPT}{i}`") for i in range(len(df.columns))]
+        if len(self.stats["onehot_names"]) > _DENSE_MAX:
+            x, vec = self._looked_up(x, kept)
+        else:
+            vec = array_to_vector(F.array(*self.feature_exprs(x))).alias(self.getOrDefault(self.outputCol))
+        return x.select(*[k.alias(n) for k, n in zip(kept, df.columns, strict=True)], vec)
+
+    def _looked_up(self, x: DataFrame, kept: list[Column]) -> tuple[DataFrame, Column]:
+        """The same features where categories are many: each row's categories are
+        tokens, found in a broadcast table of categories, and the vector is sparse."""
+        s = self.stats
+        numeric = tuple(is_numeric(x.schema[n].dataType) for n in s["nominal"])
+        if numeric not in self._vocabularies:
+            words = [f"{i}:{_number_text(float(v)) if numeric[i] else v}"
+                     for i, n in enumerate(s["nominal"]) for v in s["categories"].get(n, [])[1:]]
+            self._vocabularies[numeric] = CountVectorizerModel.from_vocabulary(
+                words, inputCol="__valora_tokens", outputCol="__valora_onehot")
+        tokens = []
+        for i, n in enumerate(s["nominal"]):
+            v = c(n).cast("double") + F.lit(0.0) if numeric[i] else c(n).cast("string")
+            text = F.when(v.isNotNull(), F.format_string("%a", v)) if numeric[i] else v
+            tokens.append(F.concat(F.lit(f"{i}:"), text))
+        scalars = [f.alias(f"__valora_f{i}") for i, f in enumerate(self.feature_exprs(x, onehot=False))]
+        x = x.select(*kept, *scalars, F.array_compact(F.array(*tokens)).alias("__valora_tokens"))
+        x = self._vocabularies[numeric].transform(x)
+        inputs = [f"__valora_f{i}" for i in range(len(scalars))] + ["__valora_onehot"]
+        x = VectorAssembler(inputCols=inputs, outputCol="__valora_vector", handleInvalid="keep").transform(x)
+        # a name for each of many features would be most of the schema: their number only
+        size = {"ml_attr": {"num_attrs": len(s["feature_names"])}}
+        return x, F.col("__valora_vector").alias(self.getOrDefault(self.outputCol), metadata=size)
 
 
 class _ModelWriter(MLWriter):
