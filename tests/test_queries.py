@@ -73,3 +73,13 @@ def test_sales_table_shape(spark):
     n = s.count()
     assert n == s.select("o_orderkey").distinct().count()
     assert s.where(F.col("n_lines").isNull()).count() > 0
+
+
+def test_cuts_of_few_rows_take_two_passes(spark, monkeypatch):
+    """Once the cells that hold the ranks have few rows, their ids are counted at once."""
+    rows, passes = spark.range(20000).withColumnRenamed("id", "k"), []
+    whole = type(rows).groupBy
+    monkeypatch.setattr(type(rows), "groupBy", lambda self, *a: passes.append(a) or whole(self, *a))
+    n, places = split._places_at(rows, "k", "s", lambda n: [4000, 15000])
+    own = sorted(tuple(r) for r in rows.select(split.hash_int(F.col("k"), "s"), split._id_text(F.col("k"))).collect())
+    assert (n, places) == (20000, [own[4000], own[15000]]) and len(passes) == 2
