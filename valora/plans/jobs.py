@@ -25,9 +25,11 @@ log = logging.getLogger("valora")
 def load_and_split(raw: DataFrame, spec: ColumnSpec, settings: Settings = SETTINGS,
                    out_root: str | None = None, profile_root: str | None = None,
                    skip_outliers: bool = False, skip_profile: bool = False):
-    """M1: clean -> profile -> hold-out split (-> saved tables).  The cleaned
-    rows are written once; profile, split and sinks read them."""
-    cleaned = cut_lineage(raw if skip_outliers else remove_outliers(raw, spec, settings))
+    """M1: clean -> profile -> hold-out split (-> saved tables).  The rows are
+    written once, before the bounds are fitted on them; the cleaned rows are a
+    projection of these, which profile, split and sinks read."""
+    stored = cut_lineage(raw)
+    cleaned = stored if skip_outliers else remove_outliers(stored, spec, settings)
     report = {} if skip_profile else profile(cleaned, spec, settings)
     if profile_root:
         save_profile(report, profile_root)
