@@ -35,3 +35,28 @@ def test_cli_profile_sales(spark, scratch):
     out = os.path.join(scratch, "cli_profile")
     assert main(["profile", "--spec", "sales", "--sf-dir", "/root/testdata/sf0.001", "--out", out]) == 0
     assert spark.read.json(f"{out}/median_by_group").count() == 25
+
+
+def counted(df):
+    """``df``, and an accumulator of the rows that have been computed."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def each(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    return df.mapInArrow(each, df.schema), seen
+
+
+def test_load_and_split_computes_its_rows_once(spark, house, scratch):
+    raw, seen = counted(house)
+    cleaned, train, test, _ = load_and_split(raw, H, out_root=os.path.join(scratch, "once"), skip_profile=True)
+    assert seen.value == house.count() and cleaned.count() == train.count() + test.count()
+
+
+def test_missing_nan_fill_computes_its_rows_once(spark, monkeypatch):
+    from valora.plans import queries
+    rows = queries._sales_nan(spark, "/root/testdata/sf0.001").cache()
+    raw, seen = counted(rows)
+    monkeypatch.setattr(queries, "_sales_nan", lambda *a: raw)
+    assert queries.q_nan_fill(spark, "").count() == rows.count() == seen.value
