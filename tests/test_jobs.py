@@ -60,3 +60,14 @@ def test_missing_nan_fill_computes_its_rows_once(spark, monkeypatch):
     raw, seen = counted(rows)
     monkeypatch.setattr(queries, "_sales_nan", lambda *a: raw)
     assert queries.q_nan_fill(spark, "").count() == rows.count() == seen.value
+
+
+def test_rows_of_many_groups_are_joined_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from valora.operators import clean
+    raw, seen = counted(spark.range(600).select(F.concat(F.lit("g"), F.col("id") % 50).alias("g"),
+                                                F.when(F.col("id") % 3 > 0, F.col("id").cast("double")).alias("v")).cache())
+    monkeypatch.setattr(clean, "_LITERAL_GROUPS", 3)
+    out = clean.fill_group_median(raw, "v", "g", row_bound=600)
+    before = seen.value
+    assert out.where("v IS NULL").count() == 0 and out.count() == 600 and seen.value == before
